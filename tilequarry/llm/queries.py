@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .packing import op2_packing
 from .quality import OP6_SQL, op6_quality_rules
+from .secrets import op10_secret_scans
 from .wavelet import op4_wavelet_shards
 
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_wavelet_shards": op4_wavelet_shards,
     "op6_quality_rules": op6_quality_rules,
+    "op10_secret_scans": op10_secret_scans,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": OP6_SQL,
