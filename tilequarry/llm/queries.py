@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licenses import op3_license_scans
 from .packing import op2_packing
 from .quality import OP6_SQL, op6_quality_rules
 from .secrets import op10_secret_scans
@@ -9,6 +10,7 @@ from .wavelet import op4_wavelet_shards
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_license_scans": op3_license_scans,
     "op4_wavelet_shards": op4_wavelet_shards,
     "op6_quality_rules": op6_quality_rules,
     "op10_secret_scans": op10_secret_scans,
