@@ -6,6 +6,7 @@ from .licenses import op3_license_scans
 from .packing import op2_packing
 from .quality import OP6_SQL, op6_quality_rules
 from .secrets import op10_secret_scans
+from .substrings import op7_substring_dedup
 from .wavelet import op4_wavelet_shards
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_license_scans": op3_license_scans,
     "op4_wavelet_shards": op4_wavelet_shards,
     "op6_quality_rules": op6_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
     "op10_secret_scans": op10_secret_scans,
 }
 ORACLE_SQL: dict[str, str] = {

@@ -125,3 +125,21 @@ def _slice(data: np.ndarray, off: np.ndarray, separators: np.ndarray, row: int)
     starts = np.flatnonzero(after & (~before | edge))
     ends = np.flatnonzero(before & (~after | edge))
     return Words(data, starts, ends, np.searchsorted(starts, off), off, row)
+
+
+def windows(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
+    """Hashes of all runs of ``n`` neighbours in ``h`` (len(h) - n + 1 of them), by prefix sums whatever ``n``."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _power(len(h), which, False)[: len(h)], out=sums[1:])
+    return mix((sums[n:] - sums[:-n]) * _power(len(h) + 1, which, True)[: len(h) - n + 1])
+
+
+def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of each ``n`` neighbours, in about log2(n) passes."""
+    width = 1
+    while 2 * width <= n:
+        x = np.minimum(x[: len(x) - width], x[width:])
+        width *= 2
+    return np.minimum(x[: len(x) - (n - width)], x[n - width :]) if n > width else x
