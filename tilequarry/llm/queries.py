@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import op8_ngram_jaccard_join
 from .licenses import op3_license_scans
 from .packing import op2_packing
 from .quality import OP6_SQL, op6_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_wavelet_shards": op4_wavelet_shards,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_secret_scans": op10_secret_scans,
 }
 ORACLE_SQL: dict[str, str] = {
