@@ -3,9 +3,9 @@
 A document's set is that of its distinct five-word shingles (ASCII lower case). Two link at Jaccard 0.75 or more; the
 result is each document's component under links.
 
-1. Equal sets are one class, found by a digest; from here on one member stands for it.
-2. Shingles are ordered by how many sets hold a shingle of the same of 2**20 hash buckets (bounded, summed over all
-   documents), then by hash. Any one order makes prefix filtering exact; this one puts frequent shingles last. A set of
+1. Equal sets are one class, found by two 64-bit sums over their shingles; from here on one member stands for it.
+2. Shingles are ordered by how many shingles of all documents fall into the same of 2**20 hash buckets (a table of fixed
+   size), then by hash. Any one order makes prefix filtering exact; this one puts frequent shingles last. A set of
    n sends its first floor(n/4) + 1 shingles, with size and position, to an inverted index dealt by shingle. Lists of
    one are dropped there.
 3. First answers: in each list, members are paired with the list's first. Each set's most frequent such partner is its
@@ -27,7 +27,6 @@ rows; other columns are ignored whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from .components import connected
-from .words import SPACE, Words, find_words
+from .words import SPACE, Words, find_words, mix
 
 N = 5
 BITS = 20
@@ -67,48 +66,52 @@ def _rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("uid", F.monotonically_increasing_id())
 
 
-def _sets(w: Words, n: int) -> Iterator[np.ndarray]:
-    """Each text's sorted distinct shingle hashes."""
-    s, first = w.shingles(n)
-    for a, b in zip(first.tolist(), first[1:].tolist()):
-        x = np.sort(s[a:b])
-        yield x[np.append(True, x[1:] != x[:-1])] if len(x) else x
-
-
-def digests(rows: DataFrame, n: int = N) -> DataFrame:
-    """uid, doc_id, n (set size) and a 128-bit digest of the set (null where it is empty)."""
+TOKEN_BITS = 52  # the upper 12 of a sorted key are the text's place in its slice of at most 4096
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size, sig = [], []
-            for w in find_words(b.column(1), SPACE, lower=True):
-                for s in _sets(w, n):
-                    size.append(len(s))
-                    sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.binary())], ["uid", "doc_id", "n", "sig"])
 
-    return rows.mapInArrow(run, "uid long, doc_id long, n long, sig binary")
+def distinct(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's ``tokens`` (below 2**52) sorted and without repetitions, by one sort for all texts of a slice."""
+    text = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
+    keys = np.sort(text << np.uint64(TOKEN_BITS) | tokens)
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+    starts = np.searchsorted(keys, np.arange(len(first) - 1, dtype=np.uint64) << np.uint64(TOKEN_BITS))
+    return keys & np.uint64((1 << TOKEN_BITS) - 1), np.append(starts, len(keys))
 
 
-def _only(rows: DataFrame, uids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join of texts by row number; the numbers are broadcast only where they are counted to be few."""
-    if uids.limit(FEW + 1).count() <= FEW:
-        return rows.join(F.broadcast(uids), "uid", how).select(rows.columns)
-    return rows.join(uids.hint("shuffle_hash"), "uid", how).select(rows.columns)
+def _shingles(w: Words, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit shingle hashes and each text's first; texts of fewer than ``least`` words have none."""
+    s, first = w.shingles(n)
+    if least > 1 and len(s):
+        short = w.counts < least
+        s = s[~np.repeat(short, np.diff(first))]
+        first = np.concatenate(([0], np.cumsum(np.where(short, 0, np.diff(first)))))
+    return s, first
 
 
-def bucket_counts(rows: DataFrame, n: int = N) -> np.ndarray:
-    """For each of 2**BITS hash buckets, how many times a set holds a shingle of it."""
+def survey(rows: DataFrame, n: int = N, least: int = 1, extra: tuple[str, ...] = ()) -> tuple[DataFrame, np.ndarray]:
+    """In one pass: uid, doc_id, n (set size) and two sums that tell sets apart (null where the set is empty), with the
+    long columns named in ``extra``; and for each of 2**BITS hash buckets how many shingles fall into it."""
     width = (1 << BITS) // SLICES
+    names = ["uid", "doc_id", *extra, "n", "sig1", "sig2", "slice", "counts"]
+    kinds = [pa.int64()] * (len(names) - 1) + [pa.binary()]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, np.int64)
         for b in batches:
             for w in find_words(b.column(1), SPACE, lower=True):
-                total += np.bincount(np.concatenate([*_sets(w, n), np.zeros(0, np.uint64)]).astype(np.uint64) >> np.uint64(64 - BITS), minlength=1 << BITS)
+                s, first = _shingles(w, n, least)
+                total += np.bincount((s >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+                s, first = distinct(s >> np.uint64(64 - TOKEN_BITS), first)
+                size = np.diff(first)
+                sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s ^ np.uint64(seed))))) for seed in (0x243F6A8885A308D3, 0x13198A2E03707344)]
+                sig = [pa.array((x[first[1:]] - x[first[:-1]]).view(np.int64), mask=size == 0) for x in sums]
+                m = len(size)
+                own = [b.column(k).slice(w.row, m) for k in (2, 0, *range(3, 3 + len(extra)))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(size), *sig, pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names)
         if total.any():
             press = zstandard.ZstdCompressor(level=1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int64()), pa.array([press.compress(total[i * width : (i + 1) * width].tobytes()) for i in range(SLICES)], pa.binary())], ["slice", "counts"])
+            tail = [pa.array(range(SLICES), pa.int64()), pa.array([press.compress(total[i * width : (i + 1) * width].tobytes()) for i in range(SLICES)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(SLICES, t) for t in kinds[:-2]], *tail], names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -119,20 +122,29 @@ def bucket_counts(rows: DataFrame, n: int = N) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
 
-    schema = "slice long, counts binary"
-    out = np.zeros(1 << BITS, np.int64)
-    for i, c in rows.mapInArrow(count, schema).repartition(min(SLICES, store.n_partitions(rows.sparkSession)), "slice").mapInArrow(add, schema).collect():
-        out[i * width : (i + 1) * width] = np.frombuffer(c, np.int64)
-    return out
+    table = store.written(rows.select("doc_id", "text", "uid", *extra).mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", counts binary"), "survey")
+    parts = min(SLICES, store.n_partitions(rows.sparkSession))
+    counts = np.zeros(1 << BITS, np.int64)
+    for i, c in table.where("slice IS NOT NULL").select("slice", "counts").repartition(parts, "slice").mapInArrow(add, "slice long, counts binary").collect():
+        counts[i * width : (i + 1) * width] = np.frombuffer(c, np.int64)
+    return table.where("slice IS NULL").select(*names[:-2]), counts
+
+
+def _only(rows: DataFrame, uids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of texts by row number; the numbers are broadcast only where they are counted to be few."""
+    if uids.limit(FEW + 1).count() <= FEW:
+        return rows.join(F.broadcast(uids), "uid", how).select(rows.columns)
+    return rows.join(uids.hint("shuffle_hash"), "uid", how).select(rows.columns)
 
 
-def index_lists(rows: DataFrame, counts: np.ndarray, limit: Threshold, n: int = N) -> DataFrame:
-    """token, uid, n, pos of the prefixes of all sets of ``rows``, without lists of one member."""
+def index_lists(rows: DataFrame, counts: np.ndarray, limit: Threshold, n: int = N, least: int = 1) -> DataFrame:
+    """token, doc, uid, n, pos of the prefixes of all sets of ``rows``, without lists of one member."""
     spark = rows.sparkSession
     parts = store.n_partitions(spark)
     buckets = 8 * parts
-    # Rarity in the upper 16 bits (counts on a quarter-octave scale), the shingle's own bits below.
-    rarity = spark.sparkContext.broadcast(np.minimum(65535, np.floor(4 * np.log2(counts + 1.0))).astype(np.uint64) << np.uint64(48))
+    # Rarity in the upper 8 of 52 bits (counts on a quarter-octave scale), the shingle's own bits below.
+    rarity = spark.sparkContext.broadcast(np.floor(4 * np.log2(counts + 1.0)).astype(np.uint64) << np.uint64(TOKEN_BITS - 8))
+    kinds = ("<u8", "<i8", "<i8", "<i4", "<i4")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -140,27 +152,30 @@ def index_lists(rows: DataFrame, counts: np.ndarray, limit: Threshold, n: int =
         press = zstandard.ZstdCompressor(level=1)
 
         def out() -> Iterator[pa.RecordBatch]:
-            if not held:
+            if not size:
                 return
-            token, uid, sizes, pos = (np.concatenate(x) for x in zip(*held))
-            bucket = (token % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((token, bucket))
-            cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)).tolist()
+            columns = [np.concatenate(x) for x in zip(*held)]
+            bucket = (columns[0] % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((columns[0], bucket))
+            cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)).tolist() if len(order) else []
             keys, blobs = [], []
             for i, j in zip(cuts, [*cuts[1:], len(order)]):
                 o = order[i:j]
                 keys.append(int(bucket[o[0]]))
-                blobs.append(press.compress(b"".join((np.array([j - i], "<i8").tobytes(), token[o].astype("<u8").tobytes(), uid[o].astype("<i8").tobytes(), sizes[o].astype("<i4").tobytes(), pos[o].astype("<i4").tobytes()))))
+                blobs.append(press.compress(np.array([j - i], "<i8").tobytes() + b"".join(c[o].astype(k).tobytes() for c, k in zip(columns, kinds))))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "packed"])
 
         for b in batches:
-            uids = b.column(2).to_numpy()
+            docs, uids = b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), b.column(2).to_numpy()
             for w in find_words(b.column(1), SPACE, lower=True):
-                for u, s in zip(uids[w.row : w.row + len(w.counts)].tolist(), _sets(w, n)):
-                    if len(s):
-                        k = int(limit.prefix(len(s)))
-                        token = rarity.value[s >> np.uint64(64 - BITS)] | (s & np.uint64((1 << 48) - 1))
-                        held.append((np.sort(np.partition(token, k - 1)[:k]) if k < len(token) else np.sort(token), np.full(k, u), np.full(k, len(s)), np.arange(k)))
+                s, first = _shingles(w, n, least)
+                tokens, first = distinct(rarity.value[(s >> np.uint64(64 - BITS)).astype(np.int64)] | (s & np.uint64((1 << (TOKEN_BITS - 8)) - 1)), first)
+                sizes = np.diff(first)
+                pos = np.arange(len(tokens)) - np.repeat(first[:-1], sizes)
+                text = np.repeat(np.arange(len(sizes)), sizes)
+                keep = pos < limit.prefix(sizes)[text]
+                text, place = text[keep], w.row + text[keep]
+                held.append((tokens[keep], docs[place], uids[place], sizes[text], pos[keep]))
                 size += len(w.data)
                 if size >= STRETCH:
                     yield from out()
@@ -174,20 +189,20 @@ def index_lists(rows: DataFrame, counts: np.ndarray, limit: Threshold, n: int =
         def out() -> Iterator[pa.RecordBatch]:
             if not blobs:
                 return
-            got: list[list[np.ndarray]] = [[], [], [], []]
+            got: list[list[np.ndarray]] = [[] for _ in kinds]
             for blob in blobs:
                 raw = zstandard.ZstdDecompressor().decompress(blob)
                 m = int(np.frombuffer(raw, "<i8", 1)[0])
                 at = 8
-                for k, kind in enumerate(("<u8", "<i8", "<i4", "<i4")):
+                for k, kind in enumerate(kinds):
                     got[k].append(np.frombuffer(raw, kind, m, at))
                     at += got[k][-1].nbytes
-            token, uid, sizes, pos = map(np.concatenate, got)
+            token, *rest = map(np.concatenate, got)
             order = np.argsort(token)
             same = token[order][1:] == token[order][:-1]
             o = order[np.append(same, False) | np.append(False, same)]
             if len(o):
-                yield pa.RecordBatch.from_arrays([pa.array(token[o].view(np.int64)), pa.array(uid[o]), pa.array(sizes[o].astype(np.int64)), pa.array(pos[o].astype(np.int64))], ["token", "uid", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(token[o].view(np.int64)), *[pa.array(x[o].astype(np.int64)) for x in rest]], ["token", "doc", "uid", "n", "pos"])
 
         for b in batches:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -197,8 +212,8 @@ def index_lists(rows: DataFrame, counts: np.ndarray, limit: Threshold, n: int =
                 blobs.append(blob)
         yield from out()
 
-    dealt = rows.mapInArrow(send, "bucket long, packed binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(gather, "token long, uid long, n long, pos long")
+    dealt = rows.select("doc_id", "text", "uid").mapInArrow(send, "bucket long, packed binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(gather, "token long, doc long, uid long, n long, pos long")
 
 
 def overlaps(pairs: DataFrame, rows: DataFrame, n: int = N) -> DataFrame:
@@ -208,12 +223,11 @@ def overlaps(pairs: DataFrame, rows: DataFrame, n: int = N) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for w in find_words(b.column(1), SPACE, lower=True):
-                s = list(_sets(w, n))
-                off = np.concatenate(([0], np.cumsum([len(x) for x in s])))
-                values = np.concatenate([*s, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(2).slice(w.row, len(s)), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values))], ["uid", "s"])
+                s, first = _shingles(w, n, 1)
+                values, first = distinct(s >> np.uint64(64 - TOKEN_BITS), first)
+                yield pa.RecordBatch.from_arrays([b.column(2).slice(w.row, len(first) - 1), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))], ["uid", "s"])
 
-    sets = _only(rows, uids, "left_semi").mapInArrow(run, "uid long, s array<long>")
+    sets = _only(rows, uids, "left_semi").select("doc_id", "text", "uid").mapInArrow(run, "uid long, s array<long>")
     left = pairs.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("uid").alias("b"), F.col("s").alias("sb")), "b")
     return both.withColumn("o", F.size(F.array_intersect("sa", "sb")).cast("long")).drop("sa", "sb")
@@ -320,9 +334,8 @@ def remaining(lists: DataFrame, known: DataFrame, roots: DataFrame, limit: Thres
     return dealt.mapInArrow(run, schema).groupBy("a", "b", "na", "nb").agg(F.max("sure").alias("sure"))
 
 
-def links(rows: DataFrame, limit: Threshold, n: int = N) -> DataFrame:
+def links(rows: DataFrame, counts: np.ndarray, limit: Threshold, n: int = N) -> DataFrame:
     """u, v: links whose components are those of all links among the sets of ``rows`` (which are distinct)."""
-    counts = bucket_counts(rows, n)
     lists = store.written(index_lists(rows, counts, limit, n), "lists")
     refs = store.written(references(lists, limit), "references")
     first = store.written(overlaps(refs, rows, n), "overlaps")
@@ -342,18 +355,18 @@ def near_duplicates(docs: DataFrame, n: int = N, limit: Threshold | None = None,
     """Each row of ``docs``: uid, doc_id, n_shingles, component_id (the least doc_id) and ``first``, true for one row of each."""
     limit = limit or Threshold()
     rows = _rows(docs, key)
-    sets = store.written(digests(rows, n), "digests")
+    sets, counts = survey(rows, n)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
-    classes = store.written(sets.where("n > 0").groupBy("sig").agg(F.min(place).alias("p"), F.count("*").alias("c")).select("sig", F.col("p.doc_id").alias("rep_doc"), F.col("p.uid").alias("rep"), "c"), "classes")
+    classes = store.written(sets.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min(place).alias("p")).select("sig1", "sig2", "n", F.col("p.doc_id").alias("rep_doc"), F.col("p.uid").alias("rep")), "classes")
     # Rows that do not stand for their class, and rows without a set, take no part in the join.
     single = sets.join(classes.select(F.col("rep").alias("uid")), "uid", "left_anti").select("uid")
-    roots = connected(links(_only(rows, store.written(single, "others"), "left_anti"), limit, n))
+    roots = connected(links(_only(rows, store.written(single, "others"), "left_anti"), counts, limit, n))
     reps = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = F.min(F.struct(F.col("rep_doc").isNull().alias("none"), F.col("rep_doc").alias("doc_id"), F.col("rep").alias("uid"))).alias("p")
     named = reps.groupBy("root").agg(least).select("root", F.col("p.doc_id").alias("component_id"), F.col("p.uid").alias("keeper"))
-    by_class = reps.join(named, "root").select("sig", "component_id", "keeper")
+    by_class = reps.join(named, "root").select("sig1", "sig2", "n", "component_id", "keeper")
     # A class of many rows is one row here; AQE splits its rows on the other side.
-    out = sets.join(by_class, "sig", "left")
+    out = sets.join(by_class, ["sig1", "sig2", "n"], "left")
     return out.select("uid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), ((F.col("n") == 0) | (F.col("uid") == F.col("keeper"))).alias("first"))
 
 

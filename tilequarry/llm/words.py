@@ -109,12 +109,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def find_words(column: pa.Array, separators: np.ndarray = SPACE, lower: bool = False, slice_bytes: int = SLICE) -> Iterator[Words]:
+def find_words(column: pa.Array, separators: np.ndarray = SPACE, lower: bool = False, slice_bytes: int = SLICE, slice_rows: int = 4096) -> Iterator[Words]:
     """The words of every text, slice by slice; ``row`` is the column's place of a slice's first text."""
     raw, offsets = text_bytes(column)
     at = 0
     while at < len(offsets) - 1:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + slice_bytes, "right")) - 1)
+        to = min(to, at + slice_rows)
         data, off = raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         yield _slice(_LOWER[data] if lower else data, off, separators, at)
         at = to
