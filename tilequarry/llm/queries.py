@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .jaccard import op8_ngram_jaccard_join
+from .leaks import op9_benchmark_decontamination
 from .licenses import op3_license_scans
+from .lines import op5_line_dedup
 from .packing import op2_packing
 from .quality import OP6_SQL, op6_quality_rules
 from .secrets import op10_secret_scans
@@ -14,11 +16,14 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_license_scans": op3_license_scans,
     "op4_wavelet_shards": op4_wavelet_shards,
+    "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_secret_scans": op10_secret_scans,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": OP6_SQL,
 }
