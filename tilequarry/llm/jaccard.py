@@ -370,5 +370,12 @@ def near_duplicates(docs: DataFrame, n: int = N, limit: Threshold | None = None,
     return out.select("uid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), ((F.col("n") == 0) | (F.col("uid") == F.col("keeper"))).alias("first"))
 
 
+def keep_first(docs: DataFrame, n: int = N, limit: Threshold | None = None) -> DataFrame:
+    """The rows of ``docs`` that are the first (least doc_id) of their component, with their own columns."""
+    later = store.written(near_duplicates(docs.select("doc_id", "text"), n, limit).where(~F.col("first")).select(F.col("uid").alias("_j_uid")), "later")
+    few = later.limit(FEW + 1).count() <= FEW
+    return docs.withColumn("_j_uid", F.monotonically_increasing_id()).join(F.broadcast(later) if few else later.hint("shuffle_hash"), "_j_uid", "left_anti").drop("_j_uid")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html import op1_html_extraction
 from .jaccard import op8_ngram_jaccard_join
 from .leaks import op9_benchmark_decontamination
 from .licenses import op3_license_scans
@@ -13,6 +14,7 @@ from .substrings import op7_substring_dedup
 from .wavelet import op4_wavelet_shards
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_packing": op2_packing,
     "op3_license_scans": op3_license_scans,
     "op4_wavelet_shards": op4_wavelet_shards,
