@@ -129,8 +129,14 @@ def cascade(docs: DataFrame, rules: list[Rule] | None = None, measure_all: bool
     df = df.withColumn(f"{PRE}rejected_by", F.lit(None).cast("string"))
     for r in rules:
         df = _add(df, r.measures, done, _m("rejected_by").isNull())
-        df = df.withColumn(f"{PRE}rejected_by", F.coalesce(_m("rejected_by"), F.when(r.rejects, r.name)))
-    return df.withColumn(f"{PRE}kept", _m("rejected_by").isNull())
+        df = df.withColumn(f"{PRE}rejected_by", _once(F.coalesce(_m("rejected_by"), F.when(r.rejects, r.name))))
+    return df.withColumn(f"{PRE}kept", _once(_m("rejected_by").isNull()))
+
+
+def _once(c: Column) -> Column:
+    """``c``, computed where it stands: the optimizer neither copies a row number into what uses it nor pushes filters
+    through it. Copied into one another, the steps of a cascade would be computed again and again."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
