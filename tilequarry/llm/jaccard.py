@@ -4,7 +4,7 @@ A document's set is that of its distinct five-word shingles (ASCII lower case).
 result is each document's component under links.
 
 1. Equal sets are one class, found by two 64-bit sums over their shingles; from here on one member stands for it.
-2. Shingles are ordered by how many shingles of all documents fall into the same of 2**20 hash buckets (a table of fixed
+2. Shingles are ordered by how many shingles of all documents fall into the same of 2**22 hash buckets (a table of fixed
    size), then by hash. Any one order makes prefix filtering exact; this one puts frequent shingles last. A set of
    n sends its first floor(n/4) + 1 shingles, with size and position, to an inverted index dealt by shingle. Lists of
    one are dropped there.
@@ -40,9 +40,9 @@ from .components import connected
 from .words import SPACE, Words, find_words, mix
 
 N = 5
-BITS = 20
+BITS = 22
 SLICES = 256
-STRETCH = 16 << 20
+STRETCH = 8 << 20
 CHUNK = 1 << 16
 FEW = 1 << 20
 
@@ -91,16 +91,17 @@ def _shingles(w: Words, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
 def survey(rows: DataFrame, n: int = N, least: int = 1, extra: tuple[str, ...] = ()) -> tuple[DataFrame, np.ndarray]:
     """In one pass: uid, doc_id, n (set size) and two sums that tell sets apart (null where the set is empty), with the
     long columns named in ``extra``; and for each of 2**BITS hash buckets how many shingles fall into it."""
+    store.small_batches(rows.sparkSession)
     width = (1 << BITS) // SLICES
     names = ["uid", "doc_id", *extra, "n", "sig1", "sig2", "slice", "counts"]
     kinds = [pa.int64()] * (len(names) - 1) + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS, np.int64)
+        total = np.zeros(1 << BITS, np.uint32)
         for b in batches:
             for w in find_words(b.column(1), SPACE, lower=True):
                 s, first = _shingles(w, n, least)
-                total += np.bincount((s >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+                np.add.at(total, (s >> np.uint64(64 - BITS)).astype(np.int64), np.uint32(1))
                 s, first = distinct(s >> np.uint64(64 - TOKEN_BITS), first)
                 size = np.diff(first)
                 sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s ^ np.uint64(seed))))) for seed in (0x243F6A8885A308D3, 0x13198A2E03707344)]
@@ -117,7 +118,7 @@ def survey(rows: DataFrame, n: int = N, least: int = 1, extra: tuple[str, ...] =
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = np.frombuffer(zstandard.ZstdDecompressor().decompress(c), np.int64)
+                got = np.frombuffer(zstandard.ZstdDecompressor().decompress(c), np.uint32).astype(np.int64)
                 sums[i] = sums[i] + got if i in sums else got
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
@@ -138,12 +139,14 @@ def _only(rows: DataFrame, uids: DataFrame, how: str) -> DataFrame:
 
 
 def index_lists(rows: DataFrame, counts: np.ndarray, limit: Threshold, n: int = N, least: int = 1) -> DataFrame:
-    """token, doc, uid, n, pos of the prefixes of all sets of ``rows``, without lists of one member."""
+    """token, doc, uid, n, pos of the prefixes of all sets of ``rows``, without lists of one member, and each list's first
+    member (by doc, then uid) with its size: first, first_n."""
     spark = rows.sparkSession
+    store.small_batches(spark)
     parts = store.n_partitions(spark)
     buckets = 8 * parts
     # Rarity in the upper 8 of 52 bits (counts on a quarter-octave scale), the shingle's own bits below.
-    rarity = spark.sparkContext.broadcast(np.floor(4 * np.log2(counts + 1.0)).astype(np.uint64) << np.uint64(TOKEN_BITS - 8))
+    rarity = spark.sparkContext.broadcast(np.floor(4 * np.log2(counts + 1.0)).astype(np.uint8))
     kinds = ("<u8", "<i8", "<i8", "<i4", "<i4")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +172,7 @@ def index_lists(rows: DataFrame, counts: np.ndarray, limit: Threshold, n: int =
             docs, uids = b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), b.column(2).to_numpy()
             for w in find_words(b.column(1), SPACE, lower=True):
                 s, first = _shingles(w, n, least)
-                tokens, first = distinct(rarity.value[(s >> np.uint64(64 - BITS)).astype(np.int64)] | (s & np.uint64((1 << (TOKEN_BITS - 8)) - 1)), first)
+                tokens, first = distinct(rarity.value[(s >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(TOKEN_BITS - 8) | (s & np.uint64((1 << (TOKEN_BITS - 8)) - 1)), first)
                 sizes = np.diff(first)
                 pos = np.arange(len(tokens)) - np.repeat(first[:-1], sizes)
                 text = np.repeat(np.arange(len(sizes)), sizes)
@@ -202,7 +205,12 @@ def index_lists(rows: DataFrame, counts: np.ndarray, limit: Threshold, n: int =
             same = token[order][1:] == token[order][:-1]
             o = order[np.append(same, False) | np.append(False, same)]
             if len(o):
-                yield pa.RecordBatch.from_arrays([pa.array(token[o].view(np.int64)), *[pa.array(x[o].astype(np.int64)) for x in rest]], ["token", "doc", "uid", "n", "pos"])
+                token, (doc, uid, sizes, pos) = token[o], [x[o].astype(np.int64) for x in rest]
+                by = np.lexsort((uid, doc, token))
+                new = np.append(True, token[by][1:] != token[by][:-1])
+                first = np.empty(len(o), np.int64)
+                first[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token.view(np.int64), doc, uid, sizes, pos, uid[first], sizes[first])], ["token", "doc", "uid", "n", "pos", "first", "first_n"])
 
         for b in batches:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -213,7 +221,7 @@ def index_lists(rows: DataFrame, counts: np.ndarray, limit: Threshold, n: int =
         yield from out()
 
     dealt = rows.select("doc_id", "text", "uid").mapInArrow(send, "bucket long, packed binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(gather, "token long, doc long, uid long, n long, pos long")
+    return dealt.mapInArrow(gather, "token long, doc long, uid long, n long, pos long, first long, first_n long")
 
 
 def overlaps(pairs: DataFrame, rows: DataFrame, n: int = N) -> DataFrame:
@@ -239,8 +247,7 @@ def _need(limit: Threshold, n, m):
 
 def references(lists: DataFrame, limit: Threshold) -> DataFrame:
     """a, b, na, nb: each set ``a`` and the one set ``b`` that comes first in most of its lists."""
-    first = lists.groupBy("token").agg(F.min(F.struct("uid", "n")).alias("f"))
-    pairs = lists.join(first, "token").where(F.col("uid") != F.col("f.uid")).select(F.col("uid").alias("a"), F.col("f.uid").alias("b"), F.col("n").alias("na"), F.col("f.n").alias("nb"))
+    pairs = lists.where("uid <> first").select(F.col("uid").alias("a"), F.col("first").alias("b"), F.col("n").alias("na"), F.col("first_n").alias("nb"))
     near = pairs.where((F.col("na") * limit.den >= F.col("nb") * limit.num) & (F.col("nb") * limit.den >= F.col("na") * limit.num))
     counted = near.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
     best = counted.groupBy("a", "na").agg(F.max(F.struct(F.col("c"), (-F.col("b")).alias("b"), F.col("nb"))).alias("x"))
