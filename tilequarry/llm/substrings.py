@@ -7,8 +7,8 @@ equal super-k-mers of one stretch of a task's input are sent as one string with
 with a third of all rows as its copies costs places, not text; strings are Zstandard-compressed by bucket.
 
 In a bucket, windows are sorted by a 128-bit hash of their words and, within equal ones, by place; all but the first are
-repeats. A bucket returns intervals of words to remove; they are gathered by row and joined to the texts, each hashed
-partition by itself. A row's own number (its place in the input) tells rows of one doc_id apart.
+repeats. A bucket returns intervals of words to remove; they are gathered by row and joined to the texts. They are
+broadcast only where they are counted to be few (``FEW_SPANS``); beyond, texts and intervals are shuffled by row. A row's own number (its place in the input) tells rows of one doc_id apart.
 
 Defined results: a null or empty text has no words; a null document id sorts before all others and stays null; of rows
 with the same doc_id the one stored first counts as earlier; an empty table gives no rows; other columns are ignored.
@@ -30,7 +30,8 @@ from .words import SPACE, Words, find_words, sliding_min, windows
 
 WINDOW = 20
 SEED = 4
-STRETCH = 16 << 20
+STRETCH = 8 << 20
+FEW_SPANS = 1 << 22
 LEAST = np.iinfo(np.int64).min
 
 
@@ -160,6 +161,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def repeated_intervals(rows: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """uid, begin, stop: words of a row of ``rows`` (doc_id, text, uid) that some repeated window covers; they may overlap."""
+    store.small_batches(rows.sparkSession)
     parts = store.n_partitions(rows.sparkSession)
     buckets = 8 * parts
 
@@ -200,6 +202,30 @@ def repeated_intervals(rows: DataFrame, window: int = WINDOW, seed: int = SEED)
     return packed.mapInArrow(judge, "uid long, begin long, stop long")
 
 
+def _finished(b: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
+    spans = b.column(2)
+    begin, stop = (spans.values.field(k).to_numpy() for k in (0, 1))
+    at = spans.offsets.to_numpy()
+    some = spans.is_valid().to_numpy(zero_copy_only=False)
+    n, removed, digest, kept = [], [], [], []
+    for i, text in enumerate(b.column(1).cast(pa.large_binary()).to_pylist()):
+        words = (text or b"").split()
+        n.append(len(words))
+        if some[i]:
+            step = np.zeros(len(words) + 1, np.int64)
+            np.add.at(step, begin[at[i] : at[i + 1]], 1)
+            np.add.at(step, stop[at[i] : at[i + 1]], -1)
+            words = [words[k] for k in np.flatnonzero(np.cumsum(step[:-1]) == 0).tolist()]
+        removed.append(n[-1] - len(words))
+        left = b" ".join(words)
+        digest.append(hashlib.sha256(left).hexdigest())
+        if with_text:
+            kept.append(left.decode())
+    columns = [b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    return pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * with_text, names + ["kept"] * with_text)
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, with_text: bool = True) -> DataFrame:
     """Each row of ``docs``: doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words joined by a space."""
     rows = _rows(docs)
@@ -207,31 +233,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, wit
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = b.column(2)
-            if isinstance(spans, pa.ChunkedArray):
-                spans = spans.combine_chunks()
-            begin, stop = (spans.values.field(k).to_numpy() for k in (0, 1))
-            at = spans.offsets.to_numpy()
-            none = ~spans.is_valid().to_numpy(zero_copy_only=False)
-            n, removed, digest, kept = [], [], [], []
-            for i, text in enumerate(b.column(1).cast(pa.large_binary()).to_pylist()):
-                words = (text or b"").split()
-                n.append(len(words))
-                if not none[i]:
-                    step = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(step, begin[at[i] : at[i + 1]], 1)
-                    np.add.at(step, stop[at[i] : at[i + 1]], -1)
-                    words = [words[k] for k in np.flatnonzero(np.cumsum(step[:-1]) == 0).tolist()]
-                removed.append(n[-1] - len(words))
-                left = b" ".join(words)
-                digest.append(hashlib.sha256(left).hexdigest())
-                if with_text:
-                    kept.append(left.decode())
-            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * with_text, names + ["kept"] * with_text)
-
-    joined = rows.join(spans.hint("shuffle_hash"), "uid", "left").select("doc_id", "text", "spans")
+            for at in range(0, b.num_rows, 512):
+                yield _finished(b.slice(at, 512), with_text)
+
+    spans = store.written(spans, "spans")
+    few = (spans.agg(F.sum(F.size("spans") + 2)).first()[0] or 0) <= FEW_SPANS
+    joined = rows.join(F.broadcast(spans) if few else spans.hint("shuffle_hash"), "uid", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
