@@ -56,7 +56,7 @@ def _strings(words: str, k: Column) -> Column:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    words = benchmark.select("item_id", _words("text").alias("w")).withColumn("len", F.size("w")).where("len > 0")
+    words = benchmark.select("item_id", _words("text").alias("w"), F.monotonically_increasing_id().alias("item")).withColumn("len", F.size("w")).where("len > 0")
     return words.withColumn("k", F.least(F.lit(N), F.col("len"))).withColumn("s", _strings("w", F.col("k")))
 
 
@@ -114,9 +114,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     windows = _windows(docs.select("doc_id", "text"), items).withColumn("k", F.least(F.lit(N), F.col("len"))).where(F.size("w") >= F.col("k"))
     windows = windows.withColumn("s", _strings("w", F.col("k")))
     windows = store.written(windows.withColumn("fp", _fingerprint("s")).drop("w"), "windows")
-    near = windows.select("uid", "start", "len", "fp", F.inline(_blocks("fp"))).join(items.select("item_id", F.col("w").alias("key"), "len", F.col("fp").alias("ifp"), F.inline(_blocks("fp"))), ["len", "block", "bits"])
-    near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("uid", "start", "len", "item_id", "key").distinct()
-    both = near.join(windows.select("uid", "doc_id", "start", "len", "s"), ["uid", "start", "len"]).join(items.select("item_id", F.col("w").alias("key"), F.col("s").alias("t")), ["item_id", "key"])
+    near = windows.select("uid", "start", "len", "fp", F.inline(_blocks("fp"))).join(items.select("item", "len", F.col("fp").alias("ifp"), F.inline(_blocks("fp"))), ["len", "block", "bits"])
+    near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("uid", "start", "len", "item").distinct()
+    both = near.join(windows.select("uid", "doc_id", "start", "len", "s"), ["uid", "start", "len"]).join(items.select("item", "item_id", F.col("s").alias("t")), "item")
     weight = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.char_length(x))
     alike = weight(F.array_intersect("s", "t")) / weight(F.array_union("s", "t"))
     best = both.withColumn("similarity", alike).where(F.col("similarity") >= similarity)
