@@ -4,7 +4,7 @@ A matrix over ids of ``bits`` bits has one bit-plane for each bit, highest first
 the order left by the planes above, in which ids with a 0 come before ids with a 1, each side in its old order. With
 rank and select on the planes, ``access``, ``count`` and ``select`` take one step a plane. A file holds
 
-    magic | bits, ids, documents | document ids, null marks, lengths | for each plane: zeros, block ranks, bits
+    magic | bits, ids, documents | ids that occur | document ids, null marks, lengths | for each plane: zeros, ranks, bits
 
 every array Zstandard-compressed where that makes it smaller. Ranks are kept at every 4096th bit.
 
@@ -67,7 +67,7 @@ class WaveletMatrix:
             planes.append(packed)
             counts = np.bitwise_count(np.pad(packed, (0, -len(packed) % (BLOCK // 8))).reshape(-1, BLOCK // 8)).sum(1, dtype=np.uint64)
             ranks.append(np.concatenate(([0], np.cumsum(counts))).astype("<u4"))
-            low, high = a[~ones], a[ones]
+            low, high = np.compress(~ones, a), np.compress(ones, a)  # faster than a[ones] where bits are mixed
             zeros.append(len(low))
             a = np.concatenate((low, high))
         return cls(len(ids), bits, zeros, planes, ranks)
@@ -106,7 +106,8 @@ class WaveletMatrix:
 
     def count(self, value: int, start: int = 0, end: int | None = None) -> int:
         """Occurrences of an id in places ``start`` to ``end``."""
-        i, j = self._range(value, start, self.n if end is None else end)
+        end = self.n if end is None else min(end, self.n)
+        i, j = self._range(value, min(start, end), end)
         return j - i
 
     def select(self, value: int, nth: int) -> int:
@@ -127,27 +128,60 @@ class WaveletMatrix:
         for k in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(self.planes[k])[: self.n].view(bool)
             b = np.empty_like(a)
-            b[~ones] = a[: self.zeros[k]]
-            b[ones] = a[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
+            b[np.flatnonzero(~ones)] = a[: self.zeros[k]]
+            b[np.flatnonzero(ones)] = a[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
             a = b
         return a
 
 
-def to_file(ids: np.ndarray, bits: int, doc_ids: list[int | None], lengths: list[int]) -> bytes:
-    m = WaveletMatrix.build(ids, bits)
-    out = [MAGIC, struct.pack("<BQQ", bits, m.n, len(doc_ids))]
+class Shard:
+    """A matrix over the numbers of the ids that occur, which takes fewer planes than over all ids."""
+
+    def __init__(self, matrix: WaveletMatrix, alphabet: np.ndarray):
+        self.matrix, self.alphabet = matrix, alphabet
+
+    def _number(self, value: int) -> int | None:
+        at = int(np.searchsorted(self.alphabet, value))
+        return at if at < len(self.alphabet) and self.alphabet[at] == value else None
+
+    def access(self, i: int) -> int:
+        return int(self.alphabet[self.matrix.access(i)])
+
+    def count(self, value: int, start: int = 0, end: int | None = None) -> int:
+        """Occurrences of an id in places ``start`` to ``end``."""
+        k = self._number(value)
+        return 0 if k is None else self.matrix.count(k, start, end)
+
+    def select(self, value: int, nth: int) -> int:
+        """Place of the ``nth`` (from 0) occurrence of an id."""
+        k = self._number(value)
+        if k is None:
+            raise IndexError(nth)
+        return self.matrix.select(k, nth)
+
+    def ids(self) -> np.ndarray:
+        return self.alphabet[self.matrix.ids()]
+
+
+def to_file(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
+    alphabet = np.flatnonzero(np.bincount(ids, minlength=1)).astype("<u4")
+    number = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 1, np.uint32)
+    number[alphabet] = np.arange(len(alphabet))
+    m = WaveletMatrix.build(number[ids], max(1, (len(alphabet) - 1).bit_length()))
+    out = [MAGIC, struct.pack("<BQQ", m.bits, m.n, len(doc_ids)), _put(alphabet)]
     out += [_put(np.array([x or 0 for x in doc_ids], "<i8")), _put(np.array([x is None for x in doc_ids], "u1")), _put(np.array(lengths, "<u4"))]
     for z, ranks, plane in zip(m.zeros, m.ranks, m.planes):
         out += [struct.pack("<Q", z), _put(ranks), _put(plane)]
     return b"".join(out)
 
 
-def from_file(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.ndarray]:
-    """The matrix, document ids, their null marks and lengths."""
+def from_file(data: bytes) -> tuple[Shard, np.ndarray, np.ndarray, np.ndarray]:
+    """The shard, document ids, their null marks and lengths."""
     if data[:5] != MAGIC:
         raise ValueError("not a token shard")
     bits, n, _ = struct.unpack_from("<BQQ", data, 5)
-    doc_ids, at = _take(data, 22, "<i8")
+    alphabet, at = _take(data, 22, "<u4")
+    doc_ids, at = _take(data, at, "<i8")
     nulls, at = _take(data, at, "u1")
     lengths, at = _take(data, at, "<u4")
     zeros, ranks, planes = [], [], []
@@ -157,7 +191,7 @@ def from_file(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.nd
         p, at = _take(data, at, "u1")
         ranks.append(r)
         planes.append(p)
-    return WaveletMatrix(n, bits, zeros, planes, ranks), doc_ids, nulls, lengths
+    return Shard(WaveletMatrix(n, bits, zeros, planes, ranks), alphabet), doc_ids, nulls, lengths
 
 
 def _fs(uri: str):
@@ -169,10 +203,10 @@ def _fs(uri: str):
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Write ``docs`` (doc_id, text) as shards in ``folder``; returns the list of files: part, seq, file, n_docs, n_tokens."""
     spark = docs.sparkSession
+    store.small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc = TaskContext.get().partitionId(), encoder(tokenizer_path)
-        bits = max(max(enc.tokenizer.get_vocab().values()), end_id).bit_length()
         fs, root = _fs(folder)
         end = end_id.to_bytes(4, "little")
         doc_ids: list[int | None] = []
@@ -181,7 +215,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
         def flush() -> pa.RecordBatch:
             name = f"{part:06d}-{seq:06d}.wm"
-            data = to_file(np.frombuffer(b"".join(ids), "<u4"), bits, doc_ids, [len(x) // 4 for x in ids])
+            data = to_file(np.frombuffer(b"".join(ids), "<u4"), doc_ids, [len(x) // 4 for x in ids])
             temporary = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}"
             fs.create_dir(root, recursive=True)
             with fs.open_output_stream(temporary) as f:
@@ -212,40 +246,39 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     return store.written(dealt.mapInArrow(run, "part long, seq long, file string, n_docs long, n_tokens long"), "shards")
 
 
+def token_offsets(files: DataFrame) -> DataFrame:
+    """Each file and the ids in all files before it. The driver sums one row a partition, not one a shard."""
+    from pyspark.sql import Window
+
+    spark = files.sparkSession
+    before, rows = 0, []
+    for part, n in sorted(files.groupBy("part").agg(F.sum("n_tokens")).collect()):
+        rows.append((part, before))
+        before += n
+    bases = spark.createDataFrame(rows, "part long, base long")
+    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    return files.withColumn("inside", F.coalesce(inside, F.lit(0))).join(bases, "part").select("file", (F.col("base") + F.col("inside")).alias("before"))
+
+
 def read_shards(files: DataFrame, folder: str) -> DataFrame:
-    """Each document of the shards: part, seq, doc_id, its first id's place in the shard, its number of ids and their CRC."""
+    """Each document of the shards: doc_id, its first id's place among all ids, its number of ids and their CRC."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _fs(folder)
         for b in batches:
-            for part, seq, name in zip(*(b.column(k).to_pylist() for k in ("part", "seq", "file"))):
+            for name, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 with fs.open_input_stream(f"{root}/{name}") as f:
-                    matrix, doc_ids, nulls, lengths = from_file(f.read())
-                raw = matrix.ids().astype("<u4").tobytes()
+                    shard, doc_ids, nulls, lengths = from_file(f.read())
+                raw = shard.ids().astype("<u4").tobytes()
                 ends = np.cumsum(lengths, dtype=np.int64)
                 starts = ends - lengths
                 crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(starts.tolist(), ends.tolist())]
-                n = len(crc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part)), pa.array(np.full(n, seq)), pa.array(doc_ids, mask=nulls.astype(bool)), pa.array(starts), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())],
-                    ["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32"],
+                    [pa.array(doc_ids, mask=nulls.astype(bool)), pa.array(starts + before), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())],
+                    ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return files.select("part", "seq", "file").repartition(store.n_partitions(files.sparkSession), "file").mapInArrow(run, "part long, seq long, doc_id long, local long, n_tokens long, ids_crc32 long")
-
-
-def token_offsets(files: DataFrame) -> DataFrame:
-    """part, seq and the ids in all shards before. The driver sums one row a partition, not one a shard."""
-    from pyspark.sql import Window
-
-    spark = files.sparkSession
-    before, rows = 0, []
-    for part, n in sorted(files.groupBy("part").agg(F.sum("n_tokens")).collect()):
-        rows.append((part, before))
-        before += n
-    bases = spark.createDataFrame(rows, "part long, base long")
-    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    return files.withColumn("inside", F.coalesce(inside, F.lit(0))).join(bases, "part").select("part", "seq", (F.col("base") + F.col("inside")).alias("before"))
+    return token_offsets(files).repartition(store.n_partitions(files.sparkSession), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,5 +286,4 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = store.fresh_path(spark, "wavelet")
     files = write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, public_tokenizers.path("byte_bpe_50k.json"))
-    read = read_shards(files, folder).join(token_offsets(files), ["part", "seq"])
-    return read.select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    return read_shards(files, folder)
