@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
 from .tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -80,24 +81,21 @@ class _Stream:
             yield from self.flush(False)
 
     def _candidates(self) -> tuple[list[int], list[int]]:
-        places, penalties, at = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 0
-        for _, ids, first in self.docs:
-            a = np.frombuffer(ids, "<u4")[first:]
-            n = len(a)
-            inner = np.flatnonzero(self.ends[a[:-1]] & self.spaces[a[1:]]) + 1
-            edges = np.concatenate(([0], inner, [n]))
-            p, kind = edges[1:], np.full(len(edges) - 1, SENTENCE_PENALTY)
-            kind[-1] = 0
-            if (gaps := np.diff(edges)).max() > self.longest:
-                more = [np.arange(x + self.longest, y, self.longest) for x, y in zip(edges[:-1][gaps > self.longest], edges[1:][gaps > self.longest])]
-                extra = np.concatenate(more)
-                p, kind = np.concatenate((p, extra)), np.concatenate((kind, np.full(len(extra), FORCED_PENALTY)))
-                order = np.argsort(p, kind="stable")
-                p, kind = p[order], kind[order]
-            places.append(p + at)
-            penalties.append(kind)
-            at += n
-        return np.concatenate(places).tolist(), np.concatenate(penalties).tolist()
+        """Places where the open ids may be cut, and the penalty of each."""
+        a = np.concatenate([np.frombuffer(ids, "<u4", offset=4 * first) for _, ids, first in self.docs])
+        sentence = np.zeros(len(a) + 1, bool)
+        sentence[1:-1] = self.ends[a[:-1]] & self.spaces[a[1:]]
+        doc = np.cumsum([len(ids) // 4 - first for _, ids, first in self.docs])
+        sentence[doc] = sentence[0] = True
+        edges = np.flatnonzero(sentence)
+        more = (np.diff(edges) - 1) // self.longest  # cuts inside long sentences
+        forced = np.repeat(edges[:-1] - self.longest * (np.cumsum(more) - more), more) + self.longest * np.arange(1, more.sum() + 1)
+        kind = np.full(len(a) + 1, FORCED_PENALTY)
+        kind[edges] = SENTENCE_PENALTY
+        kind[doc] = kind[0] = 0
+        sentence[forced] = True
+        places = np.flatnonzero(sentence)
+        return places.tolist(), kind[places].tolist()
 
     def flush(self, last: bool) -> Iterator[tuple]:
         if not self.docs:
@@ -153,6 +151,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         if rows:
             yield batch(rows)
 
+    store.small_batches(docs.sparkSession)
     schema = SCHEMA if with_ids else SCHEMA.rpartition(",")[0]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
