@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
+
 TRAIN_PAGES = 500
 SEED = 7
 _TAG = re.compile(r"""<(?:!--(?:.*?-->|[^>]*>?)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>)""", re.S)
@@ -352,6 +354,7 @@ def main_text(html: str | None, chain: Chain) -> str:
 
 def extract(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
     """Each row of ``pages`` (page_id, url, html): page_id, url, text, n_chars."""
+    store.small_batches(pages.sparkSession)
     chain = chain or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
 from .words import NOT_ALNUM, Words, find_words
 
 BLOCK_WORDS = 128
@@ -165,6 +166,7 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document: its words, phrase places and labels; ``score`` is the best containment, 1 with a phrase."""
+    store.small_batches(docs.sparkSession)
     index = Templates(templates, threshold)
     index.order(corpus_counts(docs, index))
     targets = [list(h) for h in _words(list(phrases))]

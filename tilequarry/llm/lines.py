@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .jaccard import N, Threshold, index_lists, overlaps, survey
+from .jaccard import N, Threshold, _only, index_lists, overlaps, references, survey
 
 LEAST = 5
 FEW_LINES = 1 << 22
@@ -45,16 +45,15 @@ def later_lines(docs: DataFrame, limit: Threshold | None = None, n: int = N, lea
     doc = F.coalesce("doc_id", F.lit(-(1 << 63)))
     first = store.written(held.groupBy("sig1", "sig2", "n").agg(F.min(F.struct(doc.alias("doc"), "uid")).alias("p")).select(F.col("p.uid").alias("uid")), "earliest")
     equal = store.written(held.join(first, "uid", "left_anti").select("uid", "row", "line"), "equal")
-    lists = store.written(index_lists(lines, counts, limit, n, least).join(equal.select("uid"), "uid", "left_anti").select("token", "doc", "uid", "n", "pos"), "lists")
-    close = lambda: (F.col("na") * limit.den >= F.col("nb") * limit.num) & (F.col("nb") * limit.den >= F.col("na") * limit.num)
+    distinct = _only(lines.select("doc_id", "text", "uid"), equal.select("uid"), "left_anti")
+    lists = store.written(index_lists(distinct, counts, limit, n, least), "lists")
     match = F.col("o") * (limit.num + limit.den) >= F.lit(limit.num) * (F.col("na") + F.col("nb"))
-    head = lists.groupBy("token").agg(F.min(F.struct("doc", "uid", "n")).alias("f"))
-    tried = lists.join(head, "token").where(F.col("uid") != F.col("f.uid")).select(F.col("uid").alias("a"), F.col("f.uid").alias("b"), F.col("n").alias("na"), F.col("f.n").alias("nb")).where(close())
-    best = tried.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).groupBy("a", "na").agg(F.max(F.struct("c", "b", "nb")).alias("x"))
-    compared = store.written(overlaps(best.select("a", F.col("x.b").alias("b"), "na", F.col("x.nb").alias("nb")), lines.select("doc_id", "text", "uid"), n).withColumn("match", match), "compared")
+    best = references(lists, limit)
+    compared = store.written(overlaps(best, lines.select("doc_id", "text", "uid"), n).withColumn("match", match), "compared")
     done = compared.where("match").select(F.col("a").alias("uid"))
     need = F.ceil(F.lit(limit.num) * (F.col("x.n") + F.col("y.n")) / F.lit(limit.num + limit.den) - F.lit(1e-9))
-    x, y = lists.join(done, "uid", "left_anti").alias("x"), lists.alias("y")
+    # A list's first member has nothing before it there.
+    x, y = lists.where("uid <> first").join(done, "uid", "left_anti").alias("x"), lists.alias("y")
     earlier = (F.col("y.doc") < F.col("x.doc")) | ((F.col("y.doc") == F.col("x.doc")) & (F.col("y.uid") < F.col("x.uid")))
     left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     sizes = (F.col("x.n") * limit.den >= F.col("y.n") * limit.num) & (F.col("y.n") * limit.den >= F.col("x.n") * limit.num)

@@ -23,13 +23,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rebalance: bool = True) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: lineage ends there, and any executor can read it.
 
-    Files stay until the folder's owner clears it: a lazily returned result may still read them.
+    Small results of many tasks are first put together to files of the session's advisory size (``rebalance``). Files
+    stay until the folder's owner clears it: a lazily returned result may still read them.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.hint("rebalance") if rebalance else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
