@@ -51,5 +51,5 @@ ORACLE_SQL = None  # similarity joins, tokenization and packing have no SQL; tes
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = store.written(stage(spark, docs, sf_dir), name)
+        docs = store.written(stage(spark, docs, sf_dir), name, rebalance=False)
     return STAGES[-1][1](spark, docs, sf_dir)
