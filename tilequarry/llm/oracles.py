@@ -53,8 +53,8 @@ WITH d AS (SELECT doc_id, {LOWER.format(t="coalesce(text, '')")} AS t FROM docum
 w AS (SELECT doc_id, t, {_split("t", _WORD)} AS w FROM d),
 q(phrase, label) AS (VALUES {", ".join(f"({_text(p)}, {_text(x)})" for p, x in PHRASES.items())}),
 ph AS (SELECT string_split(phrase, ' ') AS p, label FROM q),
-at AS (SELECT doc_id, label, unnest(list_filter(range(len(w) - len(p) + 1), lambda i: w[i + 1:i + len(p)] = p)) AS i FROM w, ph WHERE len(w) >= len(p)),
-base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, list(DISTINCT label) AS labels FROM at GROUP BY 1),
+pl AS (SELECT doc_id, label, unnest(list_filter(range(len(w) - len(p) + 1), lambda i: w[i + 1:i + len(p)] = p)) AS i FROM w, ph WHERE len(w) >= len(p)),
+base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, list(DISTINCT label) AS labels FROM pl GROUP BY 1),
 tx(id, label, body) AS (VALUES {", ".join(f"({k}, {_text(x)}, {_text(t)})" for k, (x, t) in enumerate((x, t) for x, ts in TEMPLATES.items() for t in ts))}),
 tm AS (SELECT id, label, list_distinct({_split(LOWER.format(t="body"), _WORD)}) AS s FROM tx),
 tw AS (SELECT id, label, len(s) AS n, unnest(s) AS x FROM tm),

@@ -7,6 +7,7 @@ from .jaccard import op8_ngram_jaccard_join
 from .leaks import op9_benchmark_decontamination
 from .licenses import op3_license_scans
 from .lines import op5_line_dedup
+from .oracles import OP3, OP5, OP7, OP8
 from .packing import op2_packing
 from .quality import OP6_SQL, op6_quality_rules
 from .secrets import op10_secret_scans
@@ -26,6 +27,9 @@ QUERIES = {
     "op10_secret_scans": op10_secret_scans,
 }
 ORACLE_SQL: dict[str, str] = {
-    "op5_line_dedup": op5_line_dedup,
+    "op3_license_scans": OP3,
+    "op5_line_dedup": OP5,
     "op6_quality_rules": OP6_SQL,
+    "op7_substring_dedup": OP7,
+    "op8_ngram_jaccard_join": OP8,
 }
