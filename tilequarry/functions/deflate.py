@@ -52,9 +52,16 @@ def distance_code(d: int) -> tuple[int, int, int]:
 
 
 def _code_of(value: Column, table: list[tuple[int, int]], first: int) -> Column:
-    rows = F.array(*[F.lit(b) for b, _ in table])
-    k = F.size(F.filter(rows, lambda b: b <= value)) - 1
-    return F.struct((k + first).cast("bigint").alias("code"), F.element_at(F.array(*[F.lit(e) for _, e in table]), k + 1).cast("bigint").alias("extra_bits"), (value - F.element_at(rows, k + 1)).cast("bigint").alias("extra"))
+    """One CASE over the bases for each field: compiled comparisons, no array is searched."""
+
+    def pick(values: list[int]) -> Column:
+        out = F
+        for (base, _), v in reversed(list(zip(table, values))):
+            out = out.when(value >= base, F.lit(v).cast("bigint"))
+        return out
+
+    low = pick([b for b, _ in table])
+    return F.struct(pick([first + k for k in range(len(table))]).alias("code"), pick([e for _, e in table]).alias("extra_bits"), (value - low).cast("bigint").alias("extra"))
 
 
 def length_code_of(n: Column) -> Column:
