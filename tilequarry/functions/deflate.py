@@ -51,26 +51,26 @@ def distance_code(d: int) -> tuple[int, int, int]:
     return k, DISTANCES[k][1], d - DISTANCES[k][0]
 
 
-def _code_of(value: Column, table: list[tuple[int, int]], first: int) -> Column:
-    """One CASE over the bases for each field: compiled comparisons, no array is searched."""
-
-    def pick(values: list[int]) -> Column:
-        out = F
-        for (base, _), v in reversed(list(zip(table, values))):
-            out = out.when(value >= base, F.lit(v).cast("bigint"))
-        return out
-
-    low = pick([b for b, _ in table])
-    return F.struct(pick([first + k for k in range(len(table))]).alias("code"), pick([e for _, e in table]).alias("extra_bits"), (value - low).cast("bigint").alias("extra"))
+def _code_of(value: Column, per_bits: int, first: int, most: int) -> Column:
+    """Codes of values from 0: 2 ** per_bits of them for each further extra bit, after twice as many without any."""
+    extra = F
+    for e in range(most, 0, -1):
+        extra = extra.when(value >= 1 << (e + per_bits), e)
+    extra = extra.otherwise(0)
+    head = F.call_function("shiftright", value, extra)
+    code = F.when(extra > 0, (extra + 1) * (1 << per_bits) + head.bitwiseAND((1 << per_bits) - 1)).otherwise(value)
+    rest = value - F.call_function("shiftleft", head, extra)
+    return F.struct((code + first).cast("bigint").alias("code"), extra.cast("bigint").alias("extra_bits"), rest.cast("bigint").alias("extra"))
 
 
 def length_code_of(n: Column) -> Column:
-    """struct(code, extra_bits, extra) for a match length of 3 to 258."""
-    return F.when(n.between(3, 258), _code_of(n, LENGTHS, 257))
+    """struct(code, extra_bits, extra) for a match length of 3 to 258; the longest has a code of its own."""
+    longest = F.struct(F.lit(285).cast("bigint").alias("code"), F.lit(0).cast("bigint").alias("extra_bits"), F.lit(0).cast("bigint").alias("extra"))
+    return F.when(n == 258, longest).when(n.between(3, 257), _code_of(n - 3, 2, 257, 5))
 
 
 def distance_code_of(d: Column) -> Column:
-    return F.when(d.between(1, WINDOW), _code_of(d, DISTANCES, 0))
+    return F.when(d.between(1, WINDOW), _code_of(d - 1, 1, 0, 13))
 
 
 def fixed_length(symbol: Column) -> Column:
