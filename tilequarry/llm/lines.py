@@ -15,18 +15,17 @@ later lines; a null doc_id sorts first; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
 from .jaccard import N, Threshold, _only, index_lists, overlaps, references, survey
 
 LEAST = 5
-FEW_LINES = 1 << 22
+FEW_BYTES = 1 << 25
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -65,48 +64,59 @@ def later_lines(docs: DataFrame, limit: Threshold | None = None, n: int = N, lea
     return equal.select("row", "line").unionByName(held.join(near, "uid", "left_semi").select("row", "line"))
 
 
-def with_removals(docs: DataFrame, limit: Threshold | None = None, n: int = N, least: int = LEAST) -> DataFrame:
-    """``docs`` and ``_l_lines``: the numbers of its lines to be removed (null: none)."""
-    gone = store.written(later_lines(docs.select("doc_id", "text"), limit, n, least).groupBy(F.col("row").alias("_l_row")).agg(F.collect_set("line").alias("_l_lines")), "gone")
-    # The lists of removed lines are broadcast only where they are counted to be few.
-    few = (gone.agg(F.sum(F.size("_l_lines") + 4)).first()[0] or 0) <= FEW_LINES
+def _marks(gone: DataFrame) -> DataFrame:
+    """_l_row, _l_marks: a byte for each line up to the last removed one, 1 where it goes, so that a line is looked up in
+    constant time; and how many go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = []
+            for places in b.column(1).to_pylist():
+                m = bytearray(max(places) + 1)
+                for k in places:
+                    m[k] = 1
+                marks.append(bytes(m))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.binary())], ["_l_row", "_l_marks"])
+
+    listed = gone.groupBy(F.col("row").alias("_l_row")).agg(F.collect_set("line").alias("lines"))
+    return listed.mapInArrow(run, "_l_row long, _l_marks binary")
+
+
+def with_marks(docs: DataFrame, limit: Threshold | None = None, n: int = N, least: int = LEAST) -> DataFrame:
+    """``docs`` and ``_l_marks`` (null: no line goes)."""
+    gone = store.written(_marks(later_lines(docs.select("doc_id", "text"), limit, n, least)), "gone")
+    # The marks are broadcast only where their bytes are counted to be few.
+    few = (gone.agg(F.sum(F.length("_l_marks") + 64)).first()[0] or 0) <= FEW_BYTES
     return docs.withColumn("_l_row", F.monotonically_increasing_id()).join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), "_l_row", "left").drop("_l_row")
 
 
-def without_later_lines(docs: DataFrame, limit: Threshold | None = None, n: int = N, least: int = LEAST) -> DataFrame:
-    """``docs`` with those lines taken out of ``text``; ``n_chars``, where there is one, follows the text."""
-    names = docs.columns
-    schema = docs.schema
+def _count(marks: Column) -> Column:
+    """How many lines are marked: of the digits of 01 and 00, the ones."""
+    return F.length(F.regexp_replace(F.hex(marks), "00|0(?=1)", ""))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, gone = b.column(names.index("text")).to_pylist(), b.column(len(names)).to_pylist()
-            texts = [t if t is None or not g else _kept(t, set(g)) for t, g in zip(texts, gone)]
-            columns = []
-            for k, c in enumerate(names):
-                kind = b.column(k).type
-                columns.append(pa.array(texts, kind) if c == "text" else pa.array([None if t is None else len(t) for t in texts], kind) if c == "n_chars" else b.column(k))
-            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return with_removals(docs, limit, n, least).mapInArrow(run, schema)
+def _kept(text: Column, marks: Column) -> Column:
+    """``text`` without its marked lines."""
+    stays = F.filter(F.split(text, "\n", -1), lambda x, i: F.coalesce(F.substring(marks, i + 1, 1) != F.lit(b"\x01"), F.lit(True)))
+    return F.when(marks.isNull(), text).otherwise(F.array_join(stays, "\n"))
 
 
-def _kept(text: str, gone: set[int]) -> str:
-    return "\n".join([x for k, x in enumerate(text.split("\n")) if k not in gone])
+def without_later_lines(docs: DataFrame, limit: Threshold | None = None, n: int = N, least: int = LEAST) -> DataFrame:
+    """``docs`` with those lines taken out of ``text``; ``n_chars``, where there is one, follows the text."""
+    kept = with_marks(docs, limit, n, least).withColumn("text", _kept(F.col("text"), F.col("_l_marks")))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the SHA-256 of what is kept (lines joined by a line feed)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, removed, digest = [], [], []
-            for text, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                text, gone = text or "", set(gone or ())
-                n.append(text.count("\n") + 1)
-                removed.append(len(gone))
-                digest.append(hashlib.sha256(_kept(text, gone).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_lines", "n_removed", "kept_sha256"])
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return with_removals(docs).mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    told = with_marks(docs)
+    text = F.col("text")
+    return told.select(
+        "doc_id",
+        F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"),
+        F.coalesce(_count(F.col("_l_marks")), F.lit(0)).cast("long").alias("n_removed"),
+        F.sha2(F.encode(_kept(text, F.col("_l_marks")), "utf-8"), 256).alias("kept_sha256"),
+    )
