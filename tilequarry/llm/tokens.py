@@ -8,6 +8,9 @@ entry). Texts with white space before a space, or with the file's special string
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import os
 import sys
@@ -126,6 +129,18 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def forget() -> None:
+    """Give the cached words back to the system."""
+    if _encoders:
+        for e in _encoders.values():
+            e.known.clear()
+            e.known.older, e.firsts = {}, {"": b""}
+        _encoders.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def encoder(path: str) -> Encoder:
     """One encoder a Python worker and file."""
     if path not in _encoders:

@@ -7,6 +7,7 @@ temporary arrays stay in cache and memory stays bounded whatever the batch; one
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -110,7 +111,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def find_words(column: pa.Array, separators: np.ndarray = SPACE, lower: bool = False, slice_bytes: int = SLICE, slice_rows: int = 4096) -> Iterator[Words]:
-    """The words of every text, slice by slice; ``row`` is the column's place of a slice's first text."""
+    """The words of every text, slice by slice; ``row`` is the column's place of a slice's first text.
+
+    A Python worker that has encoded texts before and now does other work drops its cached words here.
+    """
+    if tokens := sys.modules.get(f"{__package__}.tokens"):
+        tokens.forget()
     raw, offsets = text_bytes(column)
     at = 0
     while at < len(offsets) - 1:
