@@ -180,7 +180,9 @@ def removed_lines(stored):
     return out
 
 
-def test_line_dedup(docs, stored, empty):
+@pytest.mark.parametrize("few", [1 << 25, 0])
+def test_line_dedup(docs, stored, empty, monkeypatch, few):
+    monkeypatch.setattr(lines, "FEW_BYTES", few)
     gone = removed_lines(stored)
     assert sum(map(len, gone.values())) > 20
     want = []
