@@ -127,11 +127,13 @@ class _Stream:
         self.docs, self.open = rest, int(ends[-1]) - done
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, segment: int = 1 << 20, longest: int = 32, with_ids: bool = True) -> DataFrame:
-    """The pieces of ``docs`` (doc_id, text) in sequences of at most ``capacity`` ids; ``ids`` is little-endian uint32 bytes."""
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, segment: int = 1 << 20, longest: int = 32, with_ids: bool = True, keep_words: int | None = None) -> DataFrame:
+    """The pieces of ``docs`` (doc_id, text) in sequences of at most ``capacity`` ids; ``ids`` is little-endian uint32 bytes.
+
+    ``keep_words`` bounds the words that a Python worker caches (about 200 bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = _Stream(TaskContext.get().partitionId(), encoder(tokenizer_path), capacity, end_id, segment, longest)
+        stream = _Stream(TaskContext.get().partitionId(), encoder(tokenizer_path, keep_words), capacity, end_id, segment, longest)
         names = [x.split()[0] for x in SCHEMA.split(", ")][: None if with_ids else -1]
         types = [pa.int64()] * 7 + [pa.binary()]
 

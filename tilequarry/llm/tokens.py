@@ -54,7 +54,8 @@ class _Known(dict):
 class Encoder:
     """``encode_all`` gives the ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int | None = None):
+        self.keep = KEEP if keep is None else keep
         self.tokenizer = Tokenizer.from_file(path)
         told = json.loads(self.tokenizer.to_str())
         self.special = [x["content"] for x in told.get("added_tokens") or []]
@@ -119,9 +120,9 @@ class Encoder:
             found.append([start, *map(get, words), last])
         self._fill()
         out = [b"".join(f) if f else self.whole(t) if t else b"" for t, f in zip(texts, found)]
-        if len(self.known) > KEEP // 2:
+        if len(self.known) > self.keep // 2:
             self.known.age()
-        if len(self.firsts) > KEEP // 32:
+        if len(self.firsts) > self.keep // 32:
             self.firsts = {"": b""}
         return out
 
@@ -141,8 +142,9 @@ def forget() -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a Python worker and file."""
+def encoder(path: str, keep: int | None = None) -> Encoder:
+    """One encoder a Python worker and file; ``keep`` words in all are cached."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].keep = KEEP if keep is None else keep
     return _encoders[path]
