@@ -17,6 +17,7 @@ from tilequarry.llm.packing import pack
 from tilequarry.llm.quality import keep_good
 
 TOKENIZER = "byte_bpe_50k.json"
+KEEP_WORDS = 400_000  # executors that have run the other stages have less memory to spare
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of 2048 ids."""
-    return pack(docs, public_tokenizers.path(TOKENIZER), with_ids=False)
+    return pack(docs, public_tokenizers.path(TOKENIZER), with_ids=False, keep_words=KEEP_WORDS)
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
