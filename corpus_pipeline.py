@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that match an earlier line; n_chars follows."""
-    return without_later_lines(docs)
+    """All documents, without lines that match an earlier line, short ones too; n_chars follows."""
+    return without_later_lines(docs, least=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

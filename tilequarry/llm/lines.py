@@ -1,7 +1,8 @@
 """Removal of lines that match an earlier line, by an exact set-similarity join.
 
 A line's set is that of its distinct five-word shingles (ASCII lower case); lines match at Jaccard 0.75 or more. Lines
-of fewer than ``LEAST`` words are never removed. "Earlier" is by doc_id, then by stored place.
+of fewer than ``least`` words are never removed: ``LEAST`` for the query, as in its SQL; with 1, as in the pipeline, only
+wordless lines are left alone, and a line of fewer than five words is the one shingle of its whole sequence. "Earlier" is by doc_id, then by stored place.
 
 The join is that of :mod:`jaccard` over lines as rows: equal sets are found by digest and all but the earliest go;
 shingles are ordered by rarity over the whole corpus; a set's prefix meets others in an inverted index; pairs are cut by
