@@ -19,3 +19,16 @@ def test_pipeline_removes_short_repeated_lines(spark, tmp_path):
     rows = [(1, "Menu\nRead more\n\nall of this line is new"), (2, "menu\n\nonly here\nREAD  more\n  \nread more now"), (3, "only here\nMenu")]
     got = corpus_pipeline.line_dedup(spark, saved(spark, tmp_path / "d", rows), "")
     assert {tuple(r) for r in got.collect()} == {rows[0], (2, "\nonly here\n  \nread more now"), (3, "")}
+
+
+def test_wrapped_license_notices(spark, tmp_path):
+    from tilequarry.llm import licenses
+
+    filler = " ".join(f"word{k}" for k in range(200))
+    wrapped = lambda t, n: "\n".join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    cases = [(label, t) for label, texts in licenses.TEMPLATES.items() for t in texts if len(t.split()) > 12]
+    assert {"mit", "apache", "gpl", "bsd", "mpl"} <= {label for label, _ in cases}
+    rows = [(k, filler + "\n# " + wrapped(t, 9) + "\n\n" + filler) for k, (_, t) in enumerate(cases)] + [(99, filler + "\n" + filler)]
+    got = {r["doc_id"]: r for r in licenses.scan(saved(spark, tmp_path / "d", rows)).collect()}
+    assert all(label in got[k]["labels"].split(",") and got[k]["score"] == 1.0 for k, (label, _) in enumerate(cases))
+    assert got[99]["labels"] == "" and got[99]["score"] == 0.0

@@ -1,7 +1,8 @@
 """License scan: an exact set-similarity join of text blocks with license templates by containment.
 
 A block is a line of a text; a line of more than ``BLOCK_WORDS`` words is several blocks of that many, each starting half
-a block after the one before. Blocks and templates are sets of lower-cased words. A block B meets a template T if it
+a block after the one before. So that a notice broken by line feeds lies in a block too, a text of several lines is also
+dealt into such blocks as a whole. Blocks and templates are sets of lower-cased words. A block B meets a template T if it
 holds at least ceil(threshold * |T|) = o of its words. All words of templates are ordered by how many words of the whole
 corpus equal them, rarest first (one counting pass; the vocabulary is that of the templates, so the counts are small).
 Then a block that meets T
@@ -98,9 +99,14 @@ class Templates:
         line = np.searchsorted(lines, words.starts[hits], "right") - 1
         begin = np.searchsorted(words.starts, lines[line])
         stop = np.searchsorted(words.starts, np.append(lines, len(words.data))[line + 1])
-        found: dict[tuple[int, int], dict[int, float]] = {}
-        sets: dict[int, np.ndarray] = {}
-        seen: set[tuple[int, int]] = set()
+        # The same hits once more, for blocks of the whole text, where that is more than the line.
+        more = (words.first[text] < begin) | (words.first[text + 1] > stop)
+        begin = np.append(begin, words.first[text][more])
+        stop = np.append(stop, words.first[text + 1][more])
+        hits, text = np.append(hits, hits[more]), np.append(text, text[more])
+        found: dict[tuple[int, int, int], dict[int, float]] = {}
+        sets: dict[tuple[int, int], np.ndarray] = {}
+        seen: set[tuple[int, int, int]] = set()
         half = block_words // 2
         for w, d, a, b in zip(hits.tolist(), text.tolist(), begin.tolist(), stop.tolist()):
             k = (w - a) // half
@@ -109,20 +115,20 @@ class Templates:
                 high = min(b, low + block_words)
                 for t, place in self.by_prefix[int(numbers[w])]:
                     o = self.least[t]
-                    if high - low < o or (low, t) in seen:
+                    if high - low < o or (low, high, t) in seen:
                         continue
-                    if low not in sets:
+                    if (low, high) not in sets:
                         held = np.unique(numbers[low:high])
-                        sets[low] = np.sort(self.rank[held[held >= 0]])
-                    held, rank = sets[low], self.rank[self.sets[t]]
+                        sets[low, high] = np.sort(self.rank[held[held >= 0]])
+                    held, rank = sets[low, high], self.rank[self.sets[t]]
                     if len(self.sets[t]) - place < o or len(held) - np.searchsorted(held, rank[place]) < o - place:
                         continue
-                    seen.add((low, t))
+                    seen.add((low, high, t))
                     overlap = int(np.isin(rank, held, assume_unique=True).sum())
                     if overlap >= o:
-                        found.setdefault((d, low), {})[t] = overlap / len(rank)
+                        found.setdefault((d, low, high), {})[t] = overlap / len(rank)
         out: dict[int, dict[int, float]] = {}
-        for (d, _), met in found.items():
+        for (d, *_), met in found.items():
             for t, c in met.items():
                 if not any(set(self.sets[t]) < set(self.sets[u]) for u in met):
                     out.setdefault(d, {})[t] = max(out.get(d, {}).get(t, 0.0), c)
