@@ -32,3 +32,16 @@ def test_wrapped_license_notices(spark, tmp_path):
     got = {r["doc_id"]: r for r in licenses.scan(saved(spark, tmp_path / "d", rows)).collect()}
     assert all(label in got[k]["labels"].split(",") and got[k]["score"] == 1.0 for k, (label, _) in enumerate(cases))
     assert got[99]["labels"] == "" and got[99]["score"] == 0.0
+
+
+def test_secrets_within_longer_runs(spark, tmp_path):
+    from tilequarry.llm import secrets
+
+    r = random.Random(5)
+    key = lambda alphabet=BASE62, n=40: "".join(r.choice(alphabet) for _ in range(n))
+    forms = ["SESSION_KEY={}", "AWS_ACCESS={} end", "https://x.org/get?id=7&sig={}&v=2", "see /srv/keys/my-app/{}", "é A_B={}= x=y", "{}"]
+    keys = [(k, f, key(BASE62[:52], 24) if f == "{}" else key()) for k, f in enumerate(forms * 20)]
+    rows = [(k, f.format(x)) for k, f, x in keys] + [(k, "some_name=" + "other" * 8 + "=-/_" + "ab1" * 10) for k in range(200, 260)]
+    got = {row["doc_id"]: [rows[row["doc_id"]][1][x["start"] : x["stop"]] for x in row["spans"] if x["kind"] == "random"] for row in secrets.scan(saved(spark, tmp_path / "d", rows)).collect() if row["doc_id"] < 200}
+    for f in forms:
+        assert sum(any(x in y for y in got[k]) for k, g, x in keys if g == f) >= 16, f

@@ -1,8 +1,9 @@
 """Secret scan: fixed patterns, and a battery of randomness tests under length-aware false-discovery control.
 
 DataFrame expressions only. A text is split once by each pattern; the pieces between matches give the matches' places.
-Matches then travel as small rows without their text. Runs of at least ``MIN_RUN`` encoded characters that hold a digit
-are candidates. Each gets the narrowest encoding that fits (hex, base32, base36, base62, base64) and three tests of the
+Matches then travel as small rows without their text. Runs of at least ``MIN_RUN`` encoded characters that hold a letter
+are candidates. A run is cut at each ``=`` that is not at its end, and a part that fits no alphabet below at ``/``, at ``-``
+and ``_``, and at all three; every part of that length is a candidate by itself. Each gets the narrowest encoding that fits (hex, base32, base36, base62, base64) and three tests of the
 hypothesis that its symbols are drawn uniformly and independently from that alphabet:
 
 * chi-squared over equal bins of the alphabet (as many bins as give five expected symbols each; Wilson-Hilferty),
@@ -36,6 +37,9 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 HEX_LONG = r"[0-9a-f]{16,}"
 RUN = r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN
+# Parts of a run between inner '='; and what a part that fits no alphabet is cut to.
+PART = r"[^=]{%d,}(?:=+$)?|[^=]+=+$" % MIN_RUN
+PIECES = [r"[^%s]{%d,}" % (cut, MIN_RUN) for cut in ("/", "_-", "/_-")]
 ALPHABETS = {
     "hex": ("0123456789abcdef", r"^[0-9a-f]+$"),
     "HEX": ("0123456789ABCDEF", r"^[0-9A-F]+$"),
@@ -90,11 +94,32 @@ def _tail(z: Column) -> Column:
     return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
+def _encoding(token: str) -> Column:
+    """The narrowest encoding that fits, or null."""
+    return F.coalesce(*[F.when(F.col(token).rlike(pattern), name) for name, (_, pattern) in ALPHABETS.items()])
+
+
+def _pieces(token: Column, pattern: str) -> Column:
+    """Matches of ``pattern`` that are long enough, as structs: at (characters before), token."""
+    met, gaps = F.regexp_extract_all(token, F.lit(pattern), F.lit(0)), F.split(token, pattern, -1)
+    length = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0).cast("long"), lambda a, x: a + F.char_length(x))
+    return F.filter(F.transform(met, lambda x, i: F.struct((length(gaps, i + 1) + length(met, i)).alias("at"), x.alias("token"))), lambda x: F.char_length(x["token"]) >= MIN_RUN)
+
+
+def parts(runs: DataFrame) -> DataFrame:
+    """The candidates of runs (uid, doc_id, start, token): uid, doc_id, start, stop, token."""
+    cut = lambda rows, pieces: rows.select("uid", "doc_id", "start", F.explode(pieces).alias("p")).select("uid", "doc_id", (F.col("start") + F.col("p.at")).alias("start"), F.col("p.token").alias("token"))
+    token = F.col("token")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("at"), token.alias("token")))
+    rows = cut(runs, F.when(token.rlike("=[^=]"), _pieces(token, PART)).otherwise(whole))
+    rows = cut(rows, F.when(_encoding("token").isNotNull(), whole).otherwise(F.array_distinct(F.concat(*[_pieces(token, x) for x in PIECES]))))
+    return rows.select("uid", "doc_id", "start", (F.col("start") + F.char_length("token")).alias("stop"), "token")
+
+
 def randomness(tokens: DataFrame) -> DataFrame:
     """Adds ``encoding``, ``n`` and ``p`` (Fisher's joint p-value) to rows with ``token``; rows that fit no encoding go."""
-    fits = F.coalesce(*[F.when(F.col("token").rlike(pattern), name) for name, (_, pattern) in ALPHABETS.items()])
     alphabet = F.coalesce(*[F.when(F.col("encoding") == name, a) for name, (a, _) in ALPHABETS.items()])
-    df = tokens.where(F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]")).withColumn("encoding", fits).where(F.col("encoding").isNotNull())
+    df = tokens.where(F.col("token").rlike("[A-Za-z]")).withColumn("encoding", _encoding("token")).where(F.col("encoding").isNotNull())
     df = df.withColumn("alphabet", alphabet).withColumn("size", F.length("alphabet").cast("double"))
     body = F.rtrim(F.col("token"), F.lit("="))
     df = df.withColumn("x", F.transform(F.split(body, ""), lambda c: F.instr(F.col("alphabet"), c) - 1)).withColumn("n", F.size("x").cast("double"))
@@ -148,7 +173,7 @@ def not_rejected(tested: DataFrame, alpha: float = ALPHA) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, the base spans and all spans as sorted arrays of (start, order, stop, kind)."""
     found = store.written(matches(docs), "secrets")
-    random = not_rejected(randomness(found.where((F.col("kind") == 3) & F.col("ok")).select("uid", "doc_id", "start", "stop", "token")))
+    random = not_rejected(randomness(parts(found.where((F.col("kind") == 3) & F.col("ok")))))
     base = found.where(F.col("kind").isNull() | ((F.col("kind") < 3))).select("uid", "doc_id", F.when(F.col("ok"), F.col("kind")).alias("kind"), "start", "stop")
     rows = base.unionByName(random.select("uid", "doc_id", F.lit(3).alias("kind"), "start", "stop"))
     # Documents whose only matches are failing ones still need their row.
