@@ -45,3 +45,16 @@ def test_secrets_within_longer_runs(spark, tmp_path):
     got = {row["doc_id"]: [rows[row["doc_id"]][1][x["start"] : x["stop"]] for x in row["spans"] if x["kind"] == "random"] for row in secrets.scan(saved(spark, tmp_path / "d", rows)).collect() if row["doc_id"] < 200}
     for f in forms:
         assert sum(any(x in y for y in got[k]) for k, g, x in keys if g == f) >= 16, f
+
+
+def test_empty_and_unclosed_elements_take_no_text_with_them():
+    from tilequarry.llm import html
+
+    told = lambda page: [b.text for b in html.blocks(page)]
+    assert told('<article><p>One <svg class="i"/> two.</p><p>Three.</p></article><svg>x</svg>') == ["One two.", "Three."]
+    assert told("<p>One <object data='a'/> two.</p><p>Three</p>") == ["One two.", "Three"]
+    for tag in ("noscript", "template", "title", "svg", "iframe", "object"):
+        assert told(f"<p>One</p><{tag} a=b><p>two</p><p>three</p><{tag}>four") == ["One", "two", "three", "four"]
+        assert told(f"<p>One</p><{tag}><p>two</p></{tag}><p>three</p>") == ["One", "three"]
+    assert told("<p>One <svg src=a/><b>no</b></svg> two</p>") == ["One two"]
+    assert told("<p>One</p><script>two") == told("<p>One</p><style>two") == ["One"]

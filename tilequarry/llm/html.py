@@ -2,7 +2,8 @@
 
 A page is read once, tolerant of unclosed and stray tags, into leaf blocks: stretches of text between block-level tags,
 with character references decoded and white space made single spaces. Scripts, styles, comments and the head give no
-blocks. Each block has features of its ancestors' tags, class and id words, and roles (also joined with being inside an
+blocks, nor does what stands in templates, frames, drawings and the like; of these, one that closes itself or is never
+closed takes nothing with it. Each block has features of its ancestors' tags, class and id words, and roles (also joined with being inside an
 article), and of its text: length, share of link text, punctuation, place. A two-label chain (main text or not) is
 trained on labelled pages by maximising the conditional likelihood (forward-backward gradients, Adam); pages are
 labelled by construction: :func:`labelled_page` lays out articles among menus, headers, footers, sidebars, notices,
@@ -39,6 +40,8 @@ _BLOCK = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "noscript", "template", "title", "svg", "iframe", "object")}
+# Attributes whose last '/' is a value's, and so does not close the tag.
+_SLASH_VALUE = re.compile(r"""=\s*[^\s"']+/$""")
 # A start tag on the left ends what is open of the tags on the right.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ENDS_P = _BLOCK - {"button", "label", "option", "optgroup", "select", "textarea", "legend", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
@@ -58,6 +61,7 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
     open_tags: dict[str, int] = {}
+    unclosed: set[str] = set()
     about, parts, links, anchors, at = _NONE, [], 0, 0, 0
 
     def end_block() -> None:
@@ -104,9 +108,17 @@ def blocks(html: str) -> list[Block]:
                 pop_to(tag)
             continue
         if tag in _RAW:
-            raw = _RAW[tag].search(html, at)
-            at = raw.end() if raw else len(html)
             parts.append(" ")
+            attributes = m[3] or m[6] or ""
+            if tag in ("svg", "object") and attributes.endswith("/") and not _SLASH_VALUE.search(attributes):
+                continue
+            raw = None if tag in unclosed else _RAW[tag].search(html, at)
+            if raw:
+                at = raw.end()
+            elif tag in ("script", "style"):
+                at = len(html)
+            else:
+                unclosed.add(tag)
             continue
         if tag == "head":
             end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(html, at)
