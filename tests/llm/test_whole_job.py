@@ -58,3 +58,21 @@ def test_empty_and_unclosed_elements_take_no_text_with_them():
         assert told(f"<p>One</p><{tag}><p>two</p></{tag}><p>three</p>") == ["One", "three"]
     assert told("<p>One <svg src=a/><b>no</b></svg> two</p>") == ["One two"]
     assert told("<p>One</p><script>two") == told("<p>One</p><style>two") == ["One"]
+
+
+def test_row_numbers_do_not_depend_on_the_cores_at_hand(spark, tmp_path):
+    from tilequarry.llm import lines
+
+    cores, least = "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.minPartitionNum"
+    old = spark.conf.get(least, None)
+    rows = [(k, f"a line that every text has\nbut this one is of text {k} alone {k} {k}") for k in range(9)]
+    docs = saved(spark, tmp_path / "d", rows, files=3)
+    try:
+        spark.conf.unset(least)
+        spark.conf.set(cores, 16)
+        got = lines.without_later_lines(docs)
+        spark.conf.set(cores, 1)
+        assert sorted(map(tuple, got.collect())) == [rows[0], *[(k, t.split("\n")[1]) for k, t in rows[1:]]]
+    finally:
+        spark.conf.unset(cores)
+        spark.conf.set(least, old) if old else spark.conf.unset(least)

@@ -23,12 +23,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def fixed_splits(spark: SparkSession) -> None:
+    """Let all scans of the session split files alike from now on, however many cores are there when they are planned.
+
+    Row numbers taken in one job are looked up in a later one; a number that the session sets itself is left as it is.
+    """
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism)
+
+
 def written(df: DataFrame, name: str, rebalance: bool = True) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: lineage ends there, and any executor can read it.
 
     Small results of many tasks are first put together to files of the session's advisory size (``rebalance``). Files
     stay until the folder's owner clears it: a lazily returned result may still read them.
     """
+    fixed_splits(df.sparkSession)
     path = fresh_path(df.sparkSession, name)
     (df.hint("rebalance") if rebalance else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -39,6 +50,7 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
 
     This stays set on the session: the tables that operators return are computed later.
     """
+    fixed_splits(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
