@@ -3,7 +3,8 @@
 Each step replaces every node's links by links to the least node among its neighbours; a large star passes it to the
 greater neighbours, a small star to the others. Least neighbours are found by aggregation, which combines before it
 shuffles, so a node with very many links is no hot task. The links stay distributed; only a count and a checksum reach
-the driver, to see whether a round changed anything. Each round is cut from its lineage by a written table.
+the driver, to see whether a round changed anything. Each round is cut from its lineage by a written table,
+which goes when the next one is there.
 """
 
 from __future__ import annotations
@@ -28,11 +29,14 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 def connected(links: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node of ``links`` (u, v) but the roots themselves."""
-    now = store.written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
+    now = store.written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "stars")
     seen = None
     while True:
-        now = store.written(_star(_star(now, True), False), "links")
+        old, now = now, store.written(_star(_star(now, True), False), "stars")
+        store.drop_written(old)
         state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if tuple(state) == seen or not state[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._written_to = now._written_to
+            return out
         seen = tuple(state)

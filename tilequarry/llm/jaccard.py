@@ -16,8 +16,9 @@ result is each document's component under links.
    reference of size r are known is decided from them where possible: at least o + o' - r shingles are common, and at
    most min(o, o') + min(n - o, n' - o'). The rest are counted exactly.
 
-Pairs within a component are never listed, so a group of near copies costs one link a member. A list of more than
-``CHUNK`` members is split into pairs of chunks, each a task's work of bounded size. Texts are not shuffled unless the
+Pairs within a component are never listed, so a group of near copies costs one link a member. In a list, members outside
+its commonest component meet all others; both sides are dealt in chunks of about ``CHUNK``, and a cell of two chunks is
+the unit of work, so no list is one task's and a task holds a batch of pairs at a time. Texts are not shuffled unless the
 number of sets to be compared exceeds ``FEW``; up to that, their row numbers are broadcast.
 
 Defined results: a null, empty or wordless text has an empty set and is linked with nothing (its component is its own
@@ -43,7 +44,7 @@ N = 5
 BITS = 22
 SLICES = 256
 STRETCH = 8 << 20
-CHUNK = 1 << 16
+CHUNK = 256
 FEW = 1 << 20
 
 
@@ -62,20 +63,23 @@ class Threshold:
         return -(-self.num * (n + m) // (self.num + self.den))
 
 
-def _rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("uid", F.monotonically_increasing_id())
+def rows_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    return store.numbered(docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "uid")
 
 
-TOKEN_BITS = 52  # the upper 12 of a sorted key are the text's place in its slice of at most 4096
+def distinct(tokens: np.ndarray, first: np.ndarray, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's 64-bit ``tokens`` in order (of ``rarity``, where given, then of value) and without repetitions.
 
-
-def distinct(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's ``tokens`` (below 2**52) sorted and without repetitions, by one sort for all texts of a slice."""
-    text = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
-    keys = np.sort(text << np.uint64(TOKEN_BITS) | tokens)
-    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
-    starts = np.searchsorted(keys, np.arange(len(first) - 1, dtype=np.uint64) << np.uint64(TOKEN_BITS))
-    return keys & np.uint64((1 << TOKEN_BITS) - 1), np.append(starts, len(keys))
+    One sort for all texts of a slice; the later sorts are stable and by small numbers, which numpy does by radix.
+    """
+    text = np.repeat(np.arange(len(first) - 1, dtype=np.uint16), np.diff(first))
+    order = np.argsort(tokens)
+    if rarity is not None:
+        order = order[np.argsort(rarity[order], kind="stable")]
+    order = order[np.argsort(text[order], kind="stable")]
+    tokens, text = tokens[order], text[order]
+    new = np.append(True, (tokens[1:] != tokens[:-1]) | (text[1:] != text[:-1]))[: len(tokens)]
+    return tokens[new], np.concatenate(([0], np.cumsum(np.bincount(text[new], minlength=len(first) - 1))))
 
 
 def _shingles(w: Words, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +106,7 @@ def survey(rows: DataFrame, n: int = N, least: int = 1, extra: tuple[str, ...] =
             for w in find_words(b.column(1), SPACE, lower=True):
                 s, first = _shingles(w, n, least)
                 np.add.at(total, (s >> np.uint64(64 - BITS)).astype(np.int64), np.uint32(1))
-                s, first = distinct(s >> np.uint64(64 - TOKEN_BITS), first)
+                s, first = distinct(s, first)
                 size = np.diff(first)
                 sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s ^ np.uint64(seed))))) for seed in (0x243F6A8885A308D3, 0x13198A2E03707344)]
                 sig = [pa.array((x[first[1:]] - x[first[:-1]]).view(np.int64), mask=size == 0) for x in sums]
@@ -145,7 +149,7 @@ def index_lists(rows: DataFrame, counts: np.ndarray, limit: Threshold, n: int =
     store.small_batches(spark)
     parts = store.n_partitions(spark)
     buckets = 8 * parts
-    # Rarity in the upper 8 of 52 bits (counts on a quarter-octave scale), the shingle's own bits below.
+    # Counts on a quarter-octave scale; equally rare shingles are ordered by hash.
     rarity = spark.sparkContext.broadcast(np.floor(4 * np.log2(counts + 1.0)).astype(np.uint8))
     kinds = ("<u8", "<i8", "<i8", "<i4", "<i4")
 
@@ -172,7 +176,7 @@ def index_lists(rows: DataFrame, counts: np.ndarray, limit: Threshold, n: int =
             docs, uids = b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), b.column(2).to_numpy()
             for w in find_words(b.column(1), SPACE, lower=True):
                 s, first = _shingles(w, n, least)
-                tokens, first = distinct(rarity.value[(s >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(TOKEN_BITS - 8) | (s & np.uint64((1 << (TOKEN_BITS - 8)) - 1)), first)
+                tokens, first = distinct(s, first, rarity.value[(s >> np.uint64(64 - BITS)).astype(np.int64)])
                 sizes = np.diff(first)
                 pos = np.arange(len(tokens)) - np.repeat(first[:-1], sizes)
                 text = np.repeat(np.arange(len(sizes)), sizes)
@@ -232,7 +236,7 @@ def overlaps(pairs: DataFrame, rows: DataFrame, n: int = N) -> DataFrame:
         for b in batches:
             for w in find_words(b.column(1), SPACE, lower=True):
                 s, first = _shingles(w, n, 1)
-                values, first = distinct(s >> np.uint64(64 - TOKEN_BITS), first)
+                values, first = distinct(s, first)
                 yield pa.RecordBatch.from_arrays([b.column(2).slice(w.row, len(first) - 1), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))], ["uid", "s"])
 
     sets = _only(rows, uids, "left_semi").select("doc_id", "text", "uid").mapInArrow(run, "uid long, s array<long>")
@@ -268,26 +272,33 @@ def remaining(lists: DataFrame, known: DataFrame, roots: DataFrame, limit: Thres
     )
     told = store.written(told, "members")
     by_root = told.groupBy("token", "root").agg(F.count("*").alias("c"))
-    mixed = by_root.groupBy("token").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("k")).where("k > 1").select("token", "m", F.col("top.root").alias("major"))
-    own = F.pmod(F.xxhash64("uid"), F.col("chunks"))
-    members = told.join(mixed, "token").withColumn("chunks", F.ceil(F.col("m") / CHUNK)).withColumn("own", own)
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    members = members.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "uid", "n", "pos", "root", "ref", "o", "nr", (F.col("root") != F.col("major")).alias("minor"))
+    mixed = by_root.groupBy("token").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("k")).where("k > 1")
+    # Members of the commonest component need not meet each other: the others, ``minor``, meet all. Both sides of a list
+    # are dealt in chunks, and each pair of chunks is a cell.
+    mixed = mixed.select("token", F.col("top.root").alias("major"), F.ceil((F.col("m") - F.col("top.c")) / CHUNK).alias("nx"), F.ceil(F.col("m") / CHUNK).alias("ny"))
+    members = told.join(mixed, "token").withColumn("minor", F.col("root") != F.col("major"))
+    chunk = lambda salt, count: F.pmod(F.xxhash64("uid", F.lit(salt)), F.col(count))
+    all_of = lambda count: F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
+    kept = ["token", "uid", "n", "pos", "root", "ref", "o", "nr", "minor"]
+    asked = members.where("minor").select(*kept, F.lit(True).alias("asks"), chunk(1, "nx").alias("i"), F.explode(all_of("ny")).alias("j"))
+    met = members.select(*kept, F.lit(False).alias("asks"), chunk(2, "ny").alias("j"), F.explode(all_of("nx")).alias("i"))
+    members = asked.unionByName(met)
     schema = "a long, b long, na long, nb long, sure boolean"
 
-    def pairs(t: dict[str, np.ndarray], i: int, j: int) -> Iterator[np.ndarray]:
-        """Of one list, or pair of chunks of one: arrays a, b, na, nb, sure."""
-        order = np.lexsort((t["pos"], t["n"]))
-        t = {k: v[order] for k, v in t.items()}
-        n, pos = t["n"], t["pos"]
+    def pairs(t: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+        """Of one cell: arrays a, b, na, nb, sure."""
+        x_side = np.flatnonzero(t["asks"])
+        order = np.flatnonzero(~t["asks"])
+        order = order[np.lexsort((t["pos"][order], t["n"][order]))]
+        root, uid, n, pos, ref, o, nr, minor = (t[k][order] for k in ("root", "uid", "n", "pos", "ref", "o", "nr", "minor"))
         sizes, starts = np.unique(n, return_index=True)
         ends = np.append(starts[1:], len(n))
-        for x in np.flatnonzero(t["minor"]).tolist():
-            nx = int(n[x])
+        for x in x_side.tolist():
+            nx = int(t["n"][x])
             for block in range(np.searchsorted(sizes, -(-nx * limit.num // limit.den)), np.searchsorted(sizes, nx * limit.den // limit.num, "right")):
                 ny = int(sizes[block])
                 need = int(limit.overlap(nx, ny))
-                if nx - int(pos[x]) < need:
+                if nx - int(t["pos"][x]) < need:
                     continue
                 a, b = int(starts[block]), int(ends[block])
                 b = a + int(np.searchsorted(pos[a:b], ny - need, "right"))
@@ -295,35 +306,32 @@ def remaining(lists: DataFrame, known: DataFrame, roots: DataFrame, limit: Thres
                     continue
                 y = np.arange(a, b)
                 # Two minor members meet twice; the one with the lesser number speaks.
-                ok = (t["root"][y] != t["root"][x]) & (~t["minor"][y] | (t["uid"][y] > t["uid"][x]))
-                if i != j:
-                    ok &= t["own"][y] != t["own"][x]
-                y = y[ok]
+                y = y[(root[y] != t["root"][x]) & (~minor[y] | (uid[y] > t["uid"][x]))]
                 if not len(y):
                     continue
-                together = t["ref"][y] == t["ref"][x]
-                ox, oy = int(t["o"][x]), t["o"][y]
+                together = ref[y] == t["ref"][x]
+                ox, oy = int(t["o"][x]), o[y]
                 most = np.minimum(ox, oy) + np.minimum(nx - ox, ny - oy)
-                sure = together & (ox + oy - t["nr"][y] >= need)
+                sure = together & (ox + oy - nr[y] >= need)
                 keep = ~together | (most >= need)
                 y, sure = y[keep], sure[keep]
-                ux, uy = np.full(len(y), t["uid"][x]), t["uid"][y]
+                ux, uy = np.full(len(y), t["uid"][x]), uid[y]
                 yield np.array([np.minimum(ux, uy), np.maximum(ux, uy), np.where(ux < uy, nx, ny), np.where(ux < uy, ny, nx), sure])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["own", "uid", "n", "pos", "root", "ref", "o", "nr", "minor"]
+        names = ["asks", "uid", "n", "pos", "root", "ref", "o", "nr", "minor"]
         left: pa.Table | None = None
 
-        def lists_of(table: pa.Table, last: bool) -> tuple[list[tuple[int, int, pa.Table]], pa.Table]:
+        def cells_of(table: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table]:
             keys = [table.column(k).to_numpy() for k in ("token", "i", "j")]
             new = np.append(True, (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1]))
             cuts = [*np.flatnonzero(new).tolist(), table.num_rows]
             whole = len(cuts) - 1 - (not last)
-            return [(int(keys[1][cuts[c]]), int(keys[2][cuts[c]]), table.slice(cuts[c], cuts[c + 1] - cuts[c])) for c in range(whole)], table.slice(cuts[whole])
+            return [table.slice(cuts[c], cuts[c + 1] - cuts[c]) for c in range(whole)], table.slice(cuts[whole])
 
         def answers(table: pa.Table, last: bool) -> tuple[Iterator[pa.RecordBatch], pa.Table]:
-            got, rest = lists_of(table, last)
-            found = [p for i, j, t in got for p in pairs({k: t.column(k).to_numpy() for k in names}, i, j)]
+            got, rest = cells_of(table, last)
+            found = [p for t in got for p in pairs({k: t.column(k).to_numpy() for k in names})]
             out = []
             if found:
                 p = np.unique(np.concatenate(found, axis=1), axis=1)
@@ -354,34 +362,47 @@ def links(rows: DataFrame, counts: np.ndarray, limit: Threshold, n: int = N) ->
     # A pair that was counted as set and reference is not counted again.
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     open_pairs = store.written(rest.where(~F.col("sure")).select("a", "b", "na", "nb").join(done, ["a", "b"], "left_anti"), "open")
+    store.drop_written(lists, refs)
     more = overlaps(open_pairs, rows, n).where(linked("o", "na", "nb"))
-    return found.unionByName(rest.where("sure").select(F.col("a").alias("u"), F.col("b").alias("v"))).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    all_links = found.unionByName(rest.where("sure").select(F.col("a").alias("u"), F.col("b").alias("v"))).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    out = store.written(all_links, "links")
+    store.drop_written(first, rest, open_pairs, roots)
+    return out
 
 
 def near_duplicates(docs: DataFrame, n: int = N, limit: Threshold | None = None, key: str = "doc_id") -> DataFrame:
     """Each row of ``docs``: uid, doc_id, n_shingles, component_id (the least doc_id) and ``first``, true for one row of each."""
+    return components_of(rows_of(docs, key), n, limit)
+
+
+def components_of(rows: DataFrame, n: int = N, limit: Threshold | None = None) -> DataFrame:
+    """As :func:`near_duplicates`, of rows (doc_id, text, uid) that are numbered already."""
     limit = limit or Threshold()
-    rows = _rows(docs, key)
     sets, counts = survey(rows, n)
+    some = sets.where("n > 0")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
-    classes = store.written(sets.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min(place).alias("p")).select("sig1", "sig2", "n", F.col("p.doc_id").alias("rep_doc"), F.col("p.uid").alias("rep")), "classes")
+    classes = store.written(some.groupBy("sig1", "sig2", "n").agg(F.min(place).alias("p")).select("sig1", "sig2", "n", F.col("p.doc_id").alias("rep_doc"), F.col("p.uid").alias("rep")), "classes")
     # Rows that do not stand for their class, and rows without a set, take no part in the join.
-    single = sets.join(classes.select(F.col("rep").alias("uid")), "uid", "left_anti").select("uid")
-    roots = connected(links(_only(rows, store.written(single, "others"), "left_anti"), counts, limit, n))
+    single = store.written(sets.join(classes.select(F.col("rep").alias("uid")), "uid", "left_anti").select("uid"), "others")
+    linked = links(_only(rows, single, "left_anti"), counts, limit, n)
+    roots = connected(linked)
+    store.drop_written(single, linked)
     reps = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = F.min(F.struct(F.col("rep_doc").isNull().alias("none"), F.col("rep_doc").alias("doc_id"), F.col("rep").alias("uid"))).alias("p")
     named = reps.groupBy("root").agg(least).select("root", F.col("p.doc_id").alias("component_id"), F.col("p.uid").alias("keeper"))
     by_class = reps.join(named, "root").select("sig1", "sig2", "n", "component_id", "keeper")
     # A class of many rows is one row here; AQE splits its rows on the other side.
-    out = sets.join(by_class, ["sig1", "sig2", "n"], "left")
-    return out.select("uid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), ((F.col("n") == 0) | (F.col("uid") == F.col("keeper"))).alias("first"))
+    told = some.join(by_class, ["sig1", "sig2", "n"]).select("uid", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("uid") == F.col("keeper")).alias("first"))
+    return told.unionByName(sets.where("n = 0").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("first")))
 
 
 def keep_first(docs: DataFrame, n: int = N, limit: Threshold | None = None) -> DataFrame:
     """The rows of ``docs`` that are the first (least doc_id) of their component, with their own columns."""
-    later = store.written(near_duplicates(docs.select("doc_id", "text"), n, limit).where(~F.col("first")).select(F.col("uid").alias("_j_uid")), "later")
+    told = store.numbered(docs, "_j_uid")
+    rows = told.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_j_uid").alias("uid"))
+    later = store.written(components_of(rows, n, limit).where(~F.col("first")).select(F.col("uid").alias("_j_uid")), "later")
     few = later.limit(FEW + 1).count() <= FEW
-    return docs.withColumn("_j_uid", F.monotonically_increasing_id()).join(F.broadcast(later) if few else later.hint("shuffle_hash"), "_j_uid", "left_anti").drop("_j_uid")
+    return told.join(F.broadcast(later) if few else later.hint("shuffle_hash"), "_j_uid", "left_anti").drop("_j_uid")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

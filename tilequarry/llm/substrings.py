@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
+from .jaccard import rows_of
 from .words import SPACE, Words, find_words, sliding_min, windows
 
 WINDOW = 20
@@ -155,10 +156,6 @@ def repeats(blobs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np
     return rows, begins.astype(np.int64), stops.astype(np.int64)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("uid", F.monotonically_increasing_id())
-
-
 def repeated_intervals(rows: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """uid, begin, stop: words of a row of ``rows`` (doc_id, text, uid) that some repeated window covers; they may overlap."""
     store.small_batches(rows.sparkSession)
@@ -228,7 +225,7 @@ def _finished(b: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, with_text: bool = True) -> DataFrame:
     """Each row of ``docs``: doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words joined by a space."""
-    rows = _rows(docs)
+    rows = rows_of(docs)
     spans = repeated_intervals(rows, window, seed).groupBy("uid").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
