@@ -48,7 +48,7 @@ def drop_written(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _is_scan(df: DataFrame) -> bool:
+def is_scan(df: DataFrame) -> bool:
     """Whether rows of ``df`` are rows of Parquet files, each at most once, chosen alike in every job."""
     node = df._jdf.queryExecution().analyzed()
     while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias") and node.deterministic():
@@ -67,7 +67,7 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     One row a file reaches the driver and is broadcast; the driver holds the list of files anyway.
     """
     spark = df.sparkSession
-    if not _is_scan(df):
+    if not is_scan(df):
         df = written(df, "rows", rebalance=False)
     path, at = f"{name}_path", f"{name}_at"
     for _ in range(2):
