@@ -60,7 +60,7 @@ tm AS (SELECT id, label, list_distinct({_split(LOWER.format(t="body"), _WORD)})
 tw AS (SELECT id, label, len(s) AS n, unnest(s) AS x FROM tm),
 sub AS (SELECT a.id, b.id AS within FROM tm a, tm b WHERE len(a.s) < len(b.s) AND list_has_all(b.s, a.s)),
 ln AS (SELECT doc_id, unnest(range(len(string_split(t, chr(10))))) AS k, unnest(string_split(t, chr(10))) AS x FROM d),
-lw AS (SELECT doc_id, k, {_split("x", _WORD)} AS w FROM ln),
+lw AS (SELECT doc_id, k, {_split("x", _WORD)} AS w FROM ln UNION ALL SELECT doc_id, -1, w FROM w WHERE len(string_split(t, chr(10))) > 1),
 bl AS (SELECT doc_id, k, unnest(CASE WHEN len(w) <= {BLOCK_WORDS} THEN [0] ELSE range(0, len(w), {BLOCK_WORDS // 2}) END) AS o, w FROM lw),
 bw AS (SELECT DISTINCT doc_id, k, o, unnest(w[o + 1:o + {BLOCK_WORDS}]) AS x FROM bl),
 m AS (SELECT doc_id, k, o, id, any_value(label) AS label, any_value(n) AS n, count(*) AS c FROM bw JOIN tw ON tw.x = bw.x GROUP BY 1, 2, 3, 4 HAVING count(*) >= ceil({THRESHOLD} * any_value(n) - 1e-9)),
