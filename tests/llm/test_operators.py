@@ -173,7 +173,7 @@ def removed_lines(stored):
             continue
         out[u] = set()
         for k, x in enumerate(t.split("\n")):
-            s = shingles(x, 5)
+            s = shingles(x)
             if s and any(links(s, o) for o in seen):
                 out[u].add(k)
             if s:

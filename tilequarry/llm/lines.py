@@ -1,8 +1,8 @@
 """Removal of lines that match an earlier line, by an exact set-similarity join.
 
-A line's set is that of its distinct five-word shingles (ASCII lower case); lines match at Jaccard 0.75 or more. Lines
-of fewer than ``least`` words are never removed: ``LEAST`` for the query, as in its SQL; with 1, as in the pipeline, only
-wordless lines are left alone, and a line of fewer than five words is the one shingle of its whole sequence. "Earlier" is by doc_id, then by stored place.
+A line's set is that of its distinct five-word shingles (ASCII lower case), a shorter line's the one shingle of all its
+words; lines match at Jaccard 0.75 or more. Lines without words are left alone. "Earlier" is by doc_id, then by the row's
+and the line's place.
 
 The join is that of :mod:`jaccard` over lines as rows: equal sets are found by digest and all but the earliest go;
 shingles are ordered by rarity over the whole corpus; a set's prefix meets others in an inverted index; pairs are cut by
@@ -25,28 +25,32 @@ from pyspark.sql import functions as F
 from . import store
 from .jaccard import N, Threshold, _only, index_lists, overlaps, references, survey
 
-LEAST = 5
 FEW_BYTES = 1 << 25
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text (of a line), uid (of a line), row, line."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    split = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    return split.select("doc_id", "text", F.monotonically_increasing_id().alias("uid"), "row", F.col("line").cast("long").alias("line"))
+def _lines(rows: DataFrame) -> DataFrame:
+    """doc_id, text (of a line), uid (of a line: its row's number and its place there), row, line."""
+    text = F.col("text").cast("string")
+    most = rows.agg(F.max(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))), F.max("row")).first()
+    bits = (most[0] or 0).bit_length()
+    if bits + (most[1] or 0).bit_length() > 63:
+        raise ValueError(f"{most[1]} rows of up to {most[0]} lines cannot be numbered")
+    split = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "row", F.posexplode(F.split(text, "\n", -1)).alias("line", "text"))
+    line = F.col("line").cast("long")
+    return split.select("doc_id", "text", (F.shiftleft("row", bits) + line).alias("uid"), "row", line.alias("line"))
 
 
-def later_lines(docs: DataFrame, limit: Threshold | None = None, n: int = N, least: int = LEAST) -> DataFrame:
-    """row, line of every line of ``docs`` (doc_id, text) that matches an earlier one."""
+def later_lines(rows: DataFrame, limit: Threshold | None = None, n: int = N) -> DataFrame:
+    """row, line of every line of ``rows`` (doc_id, text, row) that matches an earlier one."""
     limit = limit or Threshold()
-    lines = _lines(docs)
-    sets, counts = survey(lines, n, least, ("row", "line"))
+    lines = _lines(rows)
+    sets, counts = survey(lines, n, 1, ("row", "line"))
     held = sets.where("n > 0")
     doc = F.coalesce("doc_id", F.lit(-(1 << 63)))
     first = store.written(held.groupBy("sig1", "sig2", "n").agg(F.min(F.struct(doc.alias("doc"), "uid")).alias("p")).select(F.col("p.uid").alias("uid")), "earliest")
     equal = store.written(held.join(first, "uid", "left_anti").select("uid", "row", "line"), "equal")
     distinct = _only(lines.select("doc_id", "text", "uid"), equal.select("uid"), "left_anti")
-    lists = store.written(index_lists(distinct, counts, limit, n, least), "lists")
+    lists = store.written(index_lists(distinct, counts, limit, n), "lists")
     match = F.col("o") * (limit.num + limit.den) >= F.lit(limit.num) * (F.col("na") + F.col("nb"))
     best = references(lists, limit)
     compared = store.written(overlaps(best, lines.select("doc_id", "text", "uid"), n).withColumn("match", match), "compared")
@@ -83,12 +87,13 @@ def _marks(gone: DataFrame) -> DataFrame:
     return listed.mapInArrow(run, "_l_row long, _l_marks binary")
 
 
-def with_marks(docs: DataFrame, limit: Threshold | None = None, n: int = N, least: int = LEAST) -> DataFrame:
+def with_marks(docs: DataFrame, limit: Threshold | None = None, n: int = N) -> DataFrame:
     """``docs`` and ``_l_marks`` (null: no line goes)."""
-    gone = store.written(_marks(later_lines(docs.select("doc_id", "text"), limit, n, least)), "gone")
+    told = store.numbered(docs, "_l_row")
+    gone = store.written(_marks(later_lines(told.select("doc_id", "text", F.col("_l_row").alias("row")), limit, n)), "gone")
     # The marks are broadcast only where their bytes are counted to be few.
     few = (gone.agg(F.sum(F.length("_l_marks") + 64)).first()[0] or 0) <= FEW_BYTES
-    return docs.withColumn("_l_row", F.monotonically_increasing_id()).join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), "_l_row", "left").drop("_l_row")
+    return told.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), "_l_row", "left").drop("_l_row")
 
 
 def _count(marks: Column) -> Column:
@@ -102,9 +107,9 @@ def _kept(text: Column, marks: Column) -> Column:
     return F.when(marks.isNull(), text).otherwise(F.array_join(stays, "\n"))
 
 
-def without_later_lines(docs: DataFrame, limit: Threshold | None = None, n: int = N, least: int = LEAST) -> DataFrame:
+def without_later_lines(docs: DataFrame, limit: Threshold | None = None, n: int = N) -> DataFrame:
     """``docs`` with those lines taken out of ``text``; ``n_chars``, where there is one, follows the text."""
-    kept = with_marks(docs, limit, n, least).withColumn("text", _kept(F.col("text"), F.col("_l_marks")))
+    kept = with_marks(docs, limit, n).withColumn("text", _kept(F.col("text"), F.col("_l_marks")))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*[f"`{c}`" for c in docs.columns])

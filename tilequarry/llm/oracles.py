@@ -18,7 +18,7 @@ OP5 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, unnest(range(len(string_split(t, chr(10))))) AS k FROM d),
 w AS (SELECT doc_id, k, x, {_split(LOWER.format(t="x"))} AS w FROM l),
-s AS (SELECT doc_id, k, {_SHINGLES} AS s FROM w WHERE len(w) >= 5),
+s AS (SELECT doc_id, k, {_SHINGLES} AS s FROM w WHERE len(w) > 0),
 u AS (SELECT doc_id, k, len(s) AS n, unnest(s) AS g FROM s),
 p AS (SELECT a.doc_id, a.k, b.doc_id AS bd, b.k AS bk, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS o FROM u a JOIN u b ON a.g = b.g AND (b.doc_id, b.k) < (a.doc_id, a.k) GROUP BY ALL),
 r AS (SELECT DISTINCT doc_id, k FROM p WHERE 100 * o >= 75 * (n + m - o))
