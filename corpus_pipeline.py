@@ -1,13 +1,15 @@
 """A corpus pipeline of five stages over ``documents``; each calls one operator on all that its predecessor kept.
 
-Stages must see a table with fixed partitions (files), as row numbers are taken from its scan: ``run`` writes each
-stage's rows as Parquet in the shared folder and reads them again.
+``run`` writes each stage's rows as Parquet in the shared folder and reads them again, so rows are numbered by file and
+place. No empty document reaches packing: the quality stage rejects those that come empty, and line dedup those that it
+has emptied.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tilequarry.llm import store
 from tilequarry.llm.jaccard import keep_first
@@ -26,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that match an earlier line, short ones too; n_chars follows."""
-    return without_later_lines(docs)
+    """Documents without lines that match an earlier line; n_chars follows. A document of which no word is left goes."""
+    return without_later_lines(docs).where(F.col("text").rlike("[^ \\t-\\r]"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
