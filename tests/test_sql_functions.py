@@ -54,3 +54,20 @@ def test_passes_cover_images():
     for w, h in ((1, 1), (5, 3), (8, 8), (9, 17)):
         assert sum(p[1] * p[2] for p in geometry.passes(w, h)) == w * h
     assert zlib.crc32(b"") == 0 and len(DEPTHS) == 5
+
+
+def test_no_file_is_larger_than_its_bound(s):
+    """The bound holds for bytes that do not compress, small and large, with and without interlacing, at every level."""
+    import random
+
+    from tilequarry.operators import codec
+
+    r = random.Random(1)
+    for w, h, color, depth in ((1, 1, 0, 8), (1, 300, 0, 1), (7, 9, 2, 16), (200, 3, 6, 8), (3, 700, 3, 4), (150, 150, 6, 16)):
+        bound = s.sql(f"SELECT png_max_encoded_size({w}, {h}, {color}, {depth})").first()[0]
+        row = s.sql(f"SELECT png_bytes_per_row({w}, {color}, {depth})").first()[0]
+        colours = [{"r": 1, "g": 2, "b": 3}] * 256 if color == 3 else None
+        for lace in (0, 1):
+            header = dict(zip(codec.FIELDS, (w, h, depth, color, 0, 0, lace)))
+            pixels = bytes(r.randint(144, 255) for _ in range(row * h))
+            assert max(len(codec.encode(header, pixels, colours, level)) for level in ("store", "fastest", "best")) <= bound

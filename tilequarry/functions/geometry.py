@@ -77,9 +77,10 @@ def is_interlaced(interlace: Column) -> Column:
 
 
 def max_encoded_size(width: Column, height: Column, color: Column, depth: Column) -> Column:
-    """An upper bound by the usual allowance: fixed parts 825, 5 % and 256 bytes over the filtered size, 12 for each IDAT."""
-    filtered = bytes_per_row(width, color, depth) * height + height
-    packed = filtered + F.floor(filtered / 20) + 256
+    """An upper bound: rows (of Adam7 at most 2 * height + 7, each with a filter byte and a byte begun), an eighth and a
+    64th for bytes that need nine bits, signature, IHDR, PLTE and IEND, and 12 bytes for each IDAT."""
+    filtered = bytes_per_row(width, color, depth) * height + 4 * height + 14
+    packed = filtered + F.floor(filtered / 8) + F.floor(filtered / 64) + 64
     return packed + 825 + F.ceil(packed / 32768) * 12
 
 

@@ -21,6 +21,8 @@ from . import bits, checksums, deflate
 _SAMPLES = "CASE color " + " ".join(f"WHEN {k} THEN {v}" for k, v in SAMPLES.items()) + " END"
 _COMBO = " OR ".join(f"(color = {k} AND depth IN {v})" for k, v in DEPTHS.items())
 _ROW = f"(width * ({_SAMPLES}) * depth + 7) DIV 8"
+_FILTERED = f"({_ROW} * height + 4 * height + 14)"
+_PACKED = f"({_FILTERED} + {_FILTERED} DIV 8 + {_FILTERED} DIV 64 + 64)"
 _GRID = "CASE WHEN y % 8 = 0 AND x % 8 = 0 THEN 0 WHEN y % 8 = 0 AND x % 8 = 4 THEN 1 WHEN y % 8 = 4 AND x % 4 = 0 THEN 2 WHEN y % 4 = 0 AND x % 4 = 2 THEN 3 WHEN y % 4 = 2 AND x % 2 = 0 THEN 4 WHEN y % 2 = 0 AND x % 2 = 1 THEN 5 ELSE 6 END"
 
 
@@ -28,8 +30,8 @@ def _axis(origin: int, step: int) -> str:
     return "CASE pass " + " ".join(f"WHEN {k} THEN greatest(0L, (size - {p[origin]} + {p[step]} - 1) DIV {p[step]})" for k, p in enumerate(ADAM7)) + " END"
 
 
-def _code(table: list[tuple[int, int]], first: int) -> str:
-    return "CASE " + " ".join(f"WHEN v >= {b} THEN {first + k}" for k, (b, _) in reversed(list(enumerate(table)))) + " END"
+def _code(table: list[tuple[int, int]], first: int, most: int) -> str:
+    return f"CASE WHEN v > {most} THEN NULL " + " ".join(f"WHEN v >= {b} THEN {first + k}" for k, (b, _) in reversed(list(enumerate(table)))) + " END"
 
 
 _FIELD = "CAST(conv(hex(substring(data, {at}, {n})), 16, 10) AS {kind})"
@@ -42,14 +44,14 @@ SCALAR = {
     "png_bytes_per_row(width BIGINT, color INT, depth INT) RETURNS BIGINT": _ROW,
     "png_raw_size(width BIGINT, height BIGINT, color INT, depth INT) RETURNS BIGINT": f"(({_ROW}) + 1) * height",
     "png_valid_combo(color INT, depth INT) RETURNS BOOLEAN": _COMBO,
-    "png_max_encoded_size(width BIGINT, height BIGINT, color INT, depth INT) RETURNS BIGINT": f"({_ROW} * height + height) + ({_ROW} * height + height) DIV 20 + 256 + 825 + 12 * ((({_ROW} * height + height) + ({_ROW} * height + height) DIV 20 + 256 + 32767) DIV 32768)",
+    "png_max_encoded_size(width BIGINT, height BIGINT, color INT, depth INT) RETURNS BIGINT": f"{_PACKED} + 825 + 12 * (({_PACKED} + 32767) DIV 32768)",
     "png_parse_header(data BINARY) RETURNS " + HEADER.upper().replace(":", ": "): f"CASE WHEN length(data) = 13 THEN {_HEADER} END",
     "png_is_critical(type STRING) RETURNS BOOLEAN": "ascii(type) & 32 = 0",
     "adam7_pass(x BIGINT, y BIGINT) RETURNS INT": _GRID,
     "adam7_width(size BIGINT, pass INT) RETURNS BIGINT": _axis(0, 2),
     "adam7_height(size BIGINT, pass INT) RETURNS BIGINT": _axis(1, 3),
-    "deflate_length_code(v INT) RETURNS INT": _code(deflate.LENGTHS, 257),
-    "deflate_distance_code(v INT) RETURNS INT": _code(deflate.DISTANCES, 0),
+    "deflate_length_code(v INT) RETURNS INT": _code(deflate.LENGTHS, 257, 258),
+    "deflate_distance_code(v INT) RETURNS INT": _code(deflate.DISTANCES, 0, deflate.WINDOW),
     "zlib_header(level STRING) RETURNS STRING": "CASE level " + " ".join(f"WHEN '{k}' THEN '{deflate.zlib_header(k).hex().upper()}'" for k in deflate.CHAIN) + " END",
     "sum_abs(row ARRAY<INT>) RETURNS BIGINT": "aggregate(row, 0L, (s, v) -> s + IF(v < 128, v, 256 - v))",
 }
@@ -76,6 +78,19 @@ def png_decode(content: pa.Array) -> pa.Array:
     return pa.array([{k: v.get(k) for k in _IMAGE.names} for v in map(one, content.to_pylist())], pa.struct(_IMAGE))
 
 
+_FILE = pa.struct([("content", pa.binary()), ("error", pa.string()), ("detail", pa.string())])
+
+
+def png_encode(header: pa.Array, pixels: pa.Array, palette: pa.Array, level: pa.Array) -> pa.Array:
+    def one(h: dict | None, p: bytes | None, colours: list | None, how: str | None) -> dict:
+        try:
+            return {"content": codec.encode(h, p, colours, how or "default")} if h is not None and p is not None else {}
+        except ImageError as e:
+            return {"error": e.label, "detail": e.detail}
+
+    return pa.array([one(*x) for x in zip(*(c.to_pylist() for c in (header, pixels, palette, level)))], _FILE)
+
+
 class Chunks:
     """``png_chunks(content)``: idx, type, length, data, crc, crc_ok, error."""
 
@@ -156,5 +171,6 @@ def register(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
     spark.udf.register("adler32", F.pandas_udf(adler32, "long"))
     spark.udf.register("png_decode", F.arrow_udf(png_decode, IMAGE))
+    spark.udf.register("png_encode", F.arrow_udf(png_encode, "content binary, error string, detail string"))
     for name, (cls, schema) in TABLES.items():
         spark.udtf.register(name, F.udtf(cls, returnType=schema))

@@ -338,7 +338,7 @@ UNION ALL SELECT doc_id, 1 FROM documents WHERE text = ''""",
 CASE WHEN NOT width BETWEEN 1 AND 1000000000 THEN 'InvalidWidth' WHEN NOT height BETWEEN 1 AND 1000000000 OR width * height > 4000000000 THEN 'InvalidHeight'
   WHEN depth NOT IN (1, 2, 4, 8, 16) THEN 'InvalidBitDepth' WHEN color NOT IN (0, 2, 3, 4, 6) THEN 'InvalidColorType' WHEN NOT {_COMBO} THEN 'InvalidColorBitDepthCombo'
   WHEN comp <> 0 THEN 'InvalidCompressionMethod' WHEN filt <> 0 THEN 'InvalidFilterMethod' WHEN lace > 1 THEN 'InvalidInterlaceMethod' END AS error FROM h""",
-    "row_geometry": f"""WITH {_HEADERS_SQL}, {_GEOMETRY}, r AS (SELECT *, n * depth AS bpp, (width * n * depth + 7) // 8 AS rb FROM g), e AS (SELECT *, rb * height + height AS f FROM r), m AS (SELECT *, f + f // 20 + 256 AS c FROM e)
+    "row_geometry": f"""WITH {_HEADERS_SQL}, {_GEOMETRY}, r AS (SELECT *, n * depth AS bpp, (width * n * depth + 7) // 8 AS rb FROM g), e AS (SELECT *, rb * height + 4 * height + 14 AS f FROM r), m AS (SELECT *, f + f // 8 + f // 64 + 64 AS c FROM e)
 SELECT p_partkey, n::BIGINT AS samples, CASE color WHEN 0 THEN 'grayscale' WHEN 2 THEN 'rgb' WHEN 3 THEN 'indexed' WHEN 4 THEN 'grayscale_alpha' ELSE 'rgba' END AS color_name, color IN (4, 6) AS has_alpha, color = 3 AS uses_palette,
 bpp::BIGINT AS bits_per_pixel, greatest(1, bpp // 8)::BIGINT AS bytes_per_pixel, rb::BIGINT AS row_bytes, (rb + 1)::BIGINT AS row_bytes_with_filter, ((rb + 1) * height)::BIGINT AS raw_size, (c + 825 + (c + 32767) // 32768 * 12)::BIGINT AS max_encoded_size FROM m""",
     "adam7_geometry": _ADAM + " SELECT *, (row_bytes * pass_height)::BIGINT AS raw_bytes FROM z",
@@ -378,3 +378,8 @@ SELECT k.image, x::BIGINT AS x, CASE WHEN x < 64 THEN px[x + 1] END::BIGINT AS v
     "lz77_tokens": "SELECT doc_id, text FROM documents",
     "zlib_streams": "SELECT page_id, html, '78' AS cmf FROM pages",
 }
+
+from . import kernel_queries  # noqa: E402
+
+QUERIES |= kernel_queries.QUERIES
+ORACLE_SQL |= kernel_queries.ORACLE_SQL
