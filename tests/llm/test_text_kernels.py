@@ -1,6 +1,8 @@
 """Words, tokens, wavelet matrices, packing cuts and page extraction without Spark."""
 
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -165,3 +167,44 @@ def test_pages():
     deep = "<div>" * 50_000 + "text" + "</span>" * 1000
     assert [b.text for b in html.blocks(deep)] == ["text"]
     assert [b.text for b in html.blocks('<p title="a>b">x</p>y < 3 &lt; 4<!-- <p> -->z')] == ["x", "y < 3 < 4z"]
+
+
+# A tag as one expression, which says plainly what is a tag but takes quadratic time where quotes or comments stay open.
+TAG = re.compile(r"""<(?:!--(?:.*?-->|[^>]*>?)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>)""", re.S)
+MARKUP = ["<", ">", '"', "'", "/", " ", "a", "=", "!", "<!--", "-->", "<!", "<?", "<p", "</p>", "<svg x=a/>", '<a href="x">', "\n"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(MARKUP), max_size=30))
+def test_tags_are_those_of_the_plain_expression(pieces):
+    page, at = "".join(pieces), 0
+    tags = html._Tags(page)
+    while True:
+        m, got = TAG.search(page, at), tags.first(at)
+        assert (m is None) == (got is None)
+        if m is None:
+            return
+        assert got == (m.start(), m.end(), m[1] or m[4] or "", m[2] or m[5] or "", m[3] or m[6] or "")
+        at = m.end()
+
+
+@pytest.mark.parametrize("unit", ["<a \"", "<a '", "<!-- >", "<head>", "<a<a", "</script <script", "<svg ===", "<dd></dd>", "<div \"><b '>", "&#1"])
+def test_long_broken_pages_take_time_in_proportion(unit):
+    start = time.monotonic()
+    html.main_text("<dt><ul>" + "<b>" * 20_000 + unit * 60_000, html.trained())
+    assert time.monotonic() - start < 30
+
+
+def test_references_and_slashes_of_any_length():
+    told = lambda page: [b.text for b in html.blocks(page)]
+    assert told("<p>a&#" + "0" * 9000 + "65;b&#" + "1" * 9000 + ";c</p>") == ["aAb\ufffdc"]
+    assert [html._closes_itself(x) for x in (" /", "/", " a=b /", ' a="b"/', " a=b/", " a= b/", " a=/", " a = /", "", " a=b")] == [True] * 4 + [False, False, True, True, False, False]
+
+
+def test_features_without_weight_change_no_label():
+    chain = html.trained()
+    r = random.Random(99)
+    for _ in range(60):
+        page, _ = html.labelled_page(r)
+        full = html.features(html.blocks(page))
+        assert chain.labels(full) == chain.labels(html.features(html.blocks(page, chain.known)))

@@ -97,3 +97,33 @@ def test_row_numbers_do_not_depend_on_how_a_scan_is_split(spark, tmp_path):
             store.written = plain
             spark.conf.unset(cores)
             spark.conf.set(size, old)
+
+
+def test_html_extraction_of_a_table(spark, tmp_path):
+    import pandas as pd
+
+    from tilequarry.llm import html
+
+    r = random.Random(4321)
+    made = [html.labelled_page(r) for _ in range(120)]
+    pages = [(i, f"u{i}", p) for i, (p, _) in enumerate(made)]
+    odd = [(900, None, None), (None, "u", ""), (901, "u", "<nav>only a menu</nav>"), (5, "u5", made[5][0]), (902, "long", "<article>" + "<p>One sentence of an article, and it is not short.</p>" * 20_000 + "</article>")]
+    # Extra columns, one of them named as a result is.
+    rows = [(*p, "x", 7) for p in pages + odd]
+    path = f"{tmp_path}/pages.parquet"
+    spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int").repartition(3).write.parquet(path)
+    got = html.op1_html_extraction(spark, str(tmp_path)).toPandas()
+    assert got.columns.tolist() == ["page_id", "url", "text", "n_chars"] and len(got) == len(rows)
+    assert (got["text"].map(len) == got["n_chars"]).all()
+    chain = html.trained()
+    want = pd.DataFrame([(i, u, html.main_text(h, chain)) for i, u, h in pages + odd], columns=["page_id", "url", "text"])
+    keyed = lambda df: sorted((str(a), str(b), c) for a, b, c in df[["page_id", "url", "text"]].astype({"page_id": "Int64"}).itertuples(index=False))
+    assert keyed(got) == keyed(want)
+    by_id = dict(zip(got["page_id"], got["text"]))
+    assert by_id[900] == by_id[901] == "" and by_id[902].count("\n") == 19_999
+    assert (got["page_id"] == 5).sum() == 2 and got[got["page_id"] == 5]["text"].nunique() == 1
+    # Held-out pages of known articles: most texts are right to the letter.
+    right = sum(by_id[i] == "\n".join(" ".join(m.split()) for m in main if m.split()) for i, (_, main) in enumerate(made))
+    assert right >= 0.7 * len(made), right
+    none = html.extract(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert none.collect() == [] and none.columns == got.columns.tolist()

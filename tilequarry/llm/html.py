@@ -12,7 +12,7 @@ fixed number of pages (``TRAIN_PAGES``), with a fixed seed; only the weights tra
 
 Defined results: a null, empty or textless page has an empty text; a null page_id or url stays null; repeated rows give
 repeated results; an empty table gives no rows; other columns are ignored whatever their names. A very long page takes
-memory in proportion to its length, and depth of nesting costs no recursion.
+time and memory in proportion to its length, whatever is unclosed in it, and depth of nesting costs no recursion.
 """
 
 from __future__ import annotations
@@ -32,16 +32,18 @@ from . import store
 
 TRAIN_PAGES = 500
 SEED = 7
-_TAG = re.compile(r"""<(?:!--(?:.*?-->|[^>]*>?)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>)""", re.S)
+# Tags without a '<' inside; other places where one may begin are looked at with care.
+_PLAIN = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/><]*+)((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>|(?=[!?]|/?[a-zA-Z]))""")
+_NAME_END, _MARK, _END, _COMMENT_END = re.compile(r"[\s/>]"), re.compile(r"""[>"']"""), re.compile(">"), re.compile("-->")
+_HEAD_END = re.compile(r"</head\s*>|<body[\s>]", re.I)
+_LONG_NUMBER = re.compile(r"&#([0-9]{100,})")
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+", re.I)
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "noscript", "template", "title", "svg", "iframe", "object")}
-# Attributes whose last '/' is a value's, and so does not close the tag.
-_SLASH_VALUE = re.compile(r"""=\s*[^\s"']+/$""")
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "noscript", "template", "title", "svg", "iframe", "object")}
 # A start tag on the left ends what is open of the tags on the right.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ENDS_P = _BLOCK - {"button", "label", "option", "optgroup", "select", "textarea", "legend", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
@@ -56,13 +58,91 @@ class Block:
         self.text, self.about, self.links = text, about, links
 
 
-def blocks(html: str) -> list[Block]:
-    """The leaf blocks of a page in order, with the features of their ancestors."""
+def _closes_itself(attributes: str) -> bool:
+    """Whether the last '/' closes the tag and is not an unquoted value's."""
+    if not attributes.endswith("/"):
+        return False
+    last = attributes.rsplit(None, 1)[-1]
+    last = last[max(last.rfind('"'), last.rfind("'")) + 1 :]
+    return "=" not in last[:-2] and (len(last) == 1 or not attributes[: -len(last)].rstrip().endswith("="))
+
+
+def _decoded(text: str) -> str:
+    """``text`` with its character references; Python does not read decimal numbers of thousands of digits."""
+    if "&" not in text:
+        return text
+    return unescape(_LONG_NUMBER.sub(lambda m: "&#" + (m[1].lstrip("0") or "0")[:9], text))
+
+
+class _Tags:
+    """The tags of a page. What a search that may run to the page's end has found is kept, so that all together take time
+    in proportion to the page: places asked for ascend, and an opening quote is followed once where no tag ends after it."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.found: dict[re.Pattern[str], int] = {}
+        self.dead: set[int] = set()
+
+    def _next(self, pattern: re.Pattern[str], at: int) -> int:
+        if self.found.get(pattern, -1) < at:
+            m = pattern.search(self.html, at)
+            self.found[pattern] = m.start() if m else len(self.html)
+        return self.found[pattern]
+
+    def _quoted_end(self, at: int) -> int:
+        """The first '>' that is not in quotes, or the page's length."""
+        html, none = self.html, len(self.html)
+        met = []
+        at = self._next(_MARK, at)
+        while at < none and html[at] != ">":
+            end = -1 if at in self.dead else html.find(html[at], at + 1)
+            met.append(at)
+            m = _MARK.search(html, end + 1) if end >= 0 else None
+            at = m.start() if m else none
+        if at == none:
+            self.dead.update(met)
+        return at
+
+    def first(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """start, end, '/' of an end tag, name (none: a comment or the like) and attributes of the first tag from ``at`` on.
+
+        A '>' in quotes does not end a tag, unless none follows outside quotes; a comment that is not closed ends there too.
+        """
+        html, none = self.html, len(self.html)
+        while m := _PLAIN.search(html, at):
+            start = m.start()
+            if m[2]:
+                return start, m.end(), m[1], m[2], m[3]
+            if html.startswith("<!--", start):
+                end = self._next(_COMMENT_END, start + 4)
+                return start, end + 3 if end < none else min(self._next(_END, start + 4) + 1, none), "", "", ""
+            if html[start + 1] in "!?":
+                end = self._next(_END, start + 2)
+                if end < none:
+                    return start, end + 1, "", "", ""
+            else:
+                close = "/" if html[start + 1] == "/" else ""
+                name = start + 1 + len(close)
+                stop = self._next(_NAME_END, name + 1)
+                end = self._quoted_end(stop)
+                if end == none:
+                    end = self._next(_END, stop)
+                if end < none:
+                    return start, end + 1, close, html[name:stop], html[stop:end]
+            at = start + 1
+        return None
+
+
+def blocks(html: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page in order, with the features of their ancestors (only those in ``known``, where given, so
+    that deep nesting does not pile up features that no weight speaks of)."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
-    open_tags: dict[str, int] = {}
+    stack: list[tuple[str, frozenset[str], bool]] = []
+    depths: dict[str, list[int]] = {}
     unclosed: set[str] = set()
-    about, parts, links, anchors, at = _NONE, [], 0, 0, 0
+    same: dict[frozenset[str], frozenset[str]] = {}
+    tags = _Tags(html)
+    about, home, parts, links, anchors, at = _NONE, False, [], 0, 0, 0
 
     def end_block() -> None:
         nonlocal parts, links
@@ -72,80 +152,87 @@ def blocks(html: str) -> list[Block]:
         parts, links = [], 0
 
     def pop_to(tag: str) -> None:
-        nonlocal about, anchors
+        nonlocal about, home, anchors
         while True:
-            t, _ = stack.pop()
-            open_tags[t] -= 1
+            t = stack.pop()[0]
+            depths[t].pop()
             if t == "a":
                 anchors -= 1
             if t == tag:
                 break
-        about = stack[-1][1] if stack else _NONE
+        about, home = stack[-1][1:] if stack else (_NONE, False)
 
     def add(text: str) -> None:
         nonlocal links
-        text = unescape(text) if "&" in text else text
+        text = _decoded(text)
         parts.append(text)
         if anchors:
             links += len(text)
 
+    def innermost(*names: str) -> int:
+        return max((depths[t][-1] for t in names if depths.get(t)), default=-1)
+
     while True:
-        m = _TAG.search(html, at)
-        if not m:
+        found = tags.first(at)
+        if not found:
             add(html[at:])
             break
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
+        start, end, close, tag, attributes = found
+        if start > at:
+            add(html[at:start])
+        at = end
         if not tag:
             continue
         tag = tag.lower()
-        if m[1] or m[4]:
+        if close:
             if tag in _BLOCK:
                 end_block()
-            if open_tags.get(tag):
+            if depths.get(tag):
                 pop_to(tag)
             continue
         if tag in _RAW:
             parts.append(" ")
-            attributes = m[3] or m[6] or ""
-            if tag in ("svg", "object") and attributes.endswith("/") and not _SLASH_VALUE.search(attributes):
+            if tag in ("svg", "object") and _closes_itself(attributes):
                 continue
             raw = None if tag in unclosed else _RAW[tag].search(html, at)
-            if raw:
-                at = raw.end()
+            end = html.find(">", raw.end()) if raw else -1
+            if end >= 0:
+                at = end + 1
             elif tag in ("script", "style"):
                 at = len(html)
             else:
                 unclosed.add(tag)
             continue
         if tag == "head":
-            end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(html, at)
-            at = end.start() if end else at
+            end = None if tag in unclosed else _HEAD_END.search(html, at)
+            if end:
+                at = end.start()
+            else:
+                unclosed.add(tag)
             continue
         if tag in _BLOCK:
             end_block()
-            if tag in _ENDS_P and open_tags.get("p"):
+            if tag in _ENDS_P and depths.get("p"):
                 pop_to("p")
             for t in _CLOSES.get(tag, ()):
-                if open_tags.get(t) and next((s for s, _ in reversed(stack) if s in (t, "ul", "ol", "table", "dl", "select")), None) == t:
+                if depths.get(t) and innermost(t) >= innermost("ul", "ol", "table", "dl", "select"):
                     pop_to(t)
         elif tag == "br":
             parts.append(" ")
         if tag in _VOID:
             continue
-        attributes = m[3] or m[6] or ""
         own = ["t:" + tag]
         if attributes and "=" in attributes:
             for x in _NAMED.findall(attributes):
                 own += ["c:" + w.lower() for w in _PART.findall(x[0] or x[1] or x[2])]
-        home = "home" in about or tag in _HOME or any(x[2:] in _HOME for x in own)
+        home = home or tag in _HOME or any(x[2:] in _HOME for x in own)
         if home:
             own += ["in " + x for x in own] + ["home"]
-        about = about.union(own)
-        stack.append((tag, about))
-        open_tags[tag] = open_tags.get(tag, 0) + 1
+        if not about.issuperset(own := own if known is None else known.intersection(own)):
+            about = about.union(own)
+            about = same.setdefault(about, about)
+        stack.append((tag, about, home))
+        depths.setdefault(tag, []).append(len(stack))
         anchors += tag == "a"
     end_block()
     return out
@@ -180,6 +267,7 @@ class Chain:
 
     def __init__(self, weights: dict[str, float], bias: float, start: np.ndarray, step: np.ndarray):
         self.weights, self.bias = weights, bias
+        self.known = frozenset(weights) | {"t:h1"}
         self.start, self.step = start.tolist(), step.tolist()
 
     def labels(self, page: list[frozenset[str]]) -> list[int]:
@@ -360,7 +448,7 @@ def trained(n_pages: int = TRAIN_PAGES, seed: int = SEED) -> Chain:
 
 
 def main_text(html: str | None, chain: Chain) -> str:
-    page = blocks(html or "")
+    page = blocks(html or "", chain.known)
     return "\n".join([b.text for b, y in zip(page, chain.labels(features(page))) if y]) if page else ""
 
 
