@@ -5,6 +5,7 @@ leaked items, secrets, licenses, one long text, and extra columns whose names th
 """
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -442,6 +443,61 @@ def test_randomness_battery(spark):
     assert kept[0] >= 180 and kept[1] == 0
 
 
+def battery(token):
+    """Encoding, n and p of a token, by the textbook's formulas."""
+    fits = [(name, a) for name, (a, pattern) in secrets.ALPHABETS.items() if re.search(pattern, token)]
+    if not fits:
+        return None
+    (name, alphabet), x = fits[0], []
+    x = [alphabet.index(c) for c in token.rstrip("=")]
+    n, k = len(x), len(alphabet)
+    bins = max(2, min(k, n // 5))
+    sizes = [sum(v * bins // k == j for v in range(k)) for j in range(bins)]
+    chi = sum((sum(v * bins // k == j for v in x) - n * e / k) ** 2 / (n * e / k) for j, e in enumerate(sizes))
+    z1 = ((chi / (bins - 1)) ** (1 / 3) - (1 - 2 / (9 * (bins - 1)))) / math.sqrt(2 / (9 * (bins - 1)))
+    z2 = (sum((a >= k / 2) != (b >= k / 2) for a, b in zip(x, x[1:])) - (n - 1) / 2) / math.sqrt((n - 1) / 4)
+    mean = sum(x) / n
+    spread = sum((v - mean) ** 2 for v in x)
+    z3 = (sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / spread + 1 / n) * math.sqrt(n) if spread else 30.0
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    half = -sum(math.log(max(p, 1e-300)) for p in (tail(z1), 2 * tail(abs(z2)), 2 * tail(abs(z3))))
+    return name, n, max(math.exp(-half) * (1 + half + half * half / 2), 1e-300)
+
+
+def reported(tested):
+    """Tokens that both rules leave, by loops over the strata; tested: token, encoding, n, p."""
+    out, strata = set(), {}
+    for t, e, n, p in set(tested):
+        strata.setdefault((e, int(math.log2(n))), []).append((math.floor(-math.log10(p) * 50), t))
+    for members in strata.values():
+        steps, m = [s for s, _ in members], len(members)
+        limit = min([s for s in steps if 10 ** (-s / 50) <= 0.05 * sum(x >= s for x in steps) / m], default=10**6)
+        most = (u := sum(s < 15 for s in steps) + 1) + 2 * math.sqrt(u)
+        few = [s + 1 for s in steps if (kept := sum(x <= s for x in steps)) - most / (1 - 10**-0.3) * (1 - 10 ** (-(s + 1) / 50)) <= 0.05 * kept]
+        out |= {t for s, t in members if s < min(limit, max(few, default=0))}
+    return out
+
+
+def test_false_discoveries_are_held_down(spark):
+    r = random.Random(8)
+    draw = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    syllables = ["ein", "keit", "lich", "ung", "ment", "tion", "ver", "er", "que", "ous", "pro", "an"]
+    prose = ["".join(r.choice(syllables) for _ in range(r.randint(6, 8))) for _ in range(400)]
+    prose = [w for w in prose if 20 <= len(w) < 32]
+    keys = [draw(secrets.ALPHABETS[e][0], n) for e in ("base62", "hex", "base32") for n in (24, 40, 64) for _ in range(150)]
+    rows = prose + keys + keys[:1] * 3000 + prose[:1] * 3000
+    tested = secrets.randomness(spark.createDataFrame([(t,) for t in rows], "token string"))
+    got = [tuple(x) for x in tested.select("token", "encoding", "n", "p").collect()]
+    for t, e, n, p in set(got):
+        name, length, exact = battery(t)
+        assert (e, n) == (name, length) and p == pytest.approx(exact, rel=1e-3, abs=1e-6)
+    kept = [x[0] for x in secrets.not_rejected(tested).select("token").collect()]
+    # A p-value at a step's edge may fall on either side of it by the last digit.
+    assert len(set(kept) ^ reported(got)) <= 1
+    assert len(set(kept) & set(prose)) <= 10 and sum(t in set(kept) for t in keys) >= 0.9 * len(keys)
+    assert kept.count(keys[0]) in (0, 3001)
+
+
 def test_shared_folder_is_the_sessions(spark, tmp_path):
     old = spark.conf.get("spark.checkpoint.dir", None)
     assert store.shared_dir(spark) and (old is None or store.shared_dir(spark) == old.rstrip("/"))

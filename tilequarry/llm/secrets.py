@@ -10,10 +10,17 @@ hypothesis that its symbols are drawn uniformly and independently from that alph
 * Wald-Wolfowitz runs above and below the middle of the alphabet,
 * serial correlation at lag one,
 
-joined by Fisher's method, whose tail has a closed form for three tests. Within each stratum of encoding and length
-octave, the Benjamini-Hochberg step-up rule at ``ALPHA`` decides which candidates are *not* random, so short and long
-ones are never pooled; p-values are rounded up to steps of ``10 ** -0.02`` for counting, which can only keep a candidate.
-What is not rejected is reported as kind ``random``. Counts cover all documents.
+joined by Fisher's method, whose tail has a closed form for three tests. Two rules then work within each stratum of
+encoding and length octave, so short and long candidates are never pooled:
+
+* The Benjamini-Hochberg step-up rule at ``ALPHA`` rejects what is *not* random, which bounds the secrets among the rejected.
+* The share of false ones among the reported is held to ``FALSE``. p-values of random tokens are uniform, so those above
+  one half tell how many random tokens there can be (two standard deviations are added, in favour of reporting). What
+  is reported beyond that number's share is false, and the least p-value that is reported rises until few enough are.
+  Long words of prose, whose p-values are small but not tiny, fall here.
+
+p-values are rounded up to steps of ``10 ** -0.02`` for counting. Counts cover all documents; a token that occurs often
+counts once, as copies say nothing about chance. What neither rule drops is reported as kind ``random``.
 
 Defined results: a null or empty text has no spans; a null document id stays null; repeated rows are scanned alike, each
 giving its row; an empty table gives no rows; other columns are ignored whatever their names.
@@ -30,7 +37,9 @@ from . import store
 
 MIN_RUN = 20
 ALPHA = 0.05
+FALSE = 0.05
 STEP = 50
+UPPER = 15  # steps below this one have p-values above about one half
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -153,21 +162,31 @@ def randomness(tokens: DataFrame) -> DataFrame:
     return df.withColumn("half", half).withColumn("p", F.greatest(F.exp(-F.col("half")) * (1 + F.col("half") + F.col("half") * F.col("half") / 2), tiny)).drop("alphabet", "size", "x", "bins", "placed", "symbol_bins", "chi", "mean", "pairs", "half")
 
 
-def not_rejected(tested: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """The rows of ``tested`` whose randomness the step-up rule does not reject, stratum by stratum.
+def not_rejected(tested: DataFrame, alpha: float = ALPHA, false: float = FALSE) -> DataFrame:
+    """The rows of ``tested`` that are reported: randomness is not rejected by the step-up rule, and the estimated share of
+    false ones among all that are reported of a stratum is at most ``false``.
 
-    A stratum is an encoding and a length octave: a few hundred at most, so its thresholds are small enough to broadcast.
+    A stratum is an encoding and a length octave: a few hundred at most, so its limits are small enough to broadcast.
     """
-    stratum = [F.col("encoding"), F.floor(F.log2("n")).cast("int").alias("octave")]
+    octave = F.floor(F.log2("n")).cast("int").alias("octave")
     step = F.floor(-F.log10("p") * STEP).cast("int").alias("step")
-    marked = tested.select("*", stratum[1], step)
-    counts = marked.groupBy("encoding", "octave", "step").agg(F.count("*").alias("c"))
-    below = Window.partitionBy("encoding", "octave").orderBy(F.desc("step"))
-    all_of = Window.partitionBy("encoding", "octave")
-    ranked = counts.select("encoding", "octave", "step", F.sum("c").over(below).alias("rank"), F.sum("c").over(all_of).alias("m"))
-    rejected = ranked.where(F.pow(F.lit(10.0), -F.col("step") / STEP) <= alpha * F.col("rank") / F.col("m"))
-    limits = rejected.groupBy("encoding", "octave").agg(F.min("step").alias("limit"))
-    return marked.join(F.broadcast(limits), ["encoding", "octave"], "left").where(F.col("limit").isNull() | (F.col("step") < F.col("limit"))).drop("limit", "octave", "step")
+    marked = tested.select("*", octave, step)
+    stratum = ["encoding", "octave"]
+    once = marked.select(*stratum, "step", F.xxhash64("token").alias("token")).distinct()
+    counts = once.groupBy(*stratum, "step").agg(F.count("*").alias("c"))
+    below = Window.partitionBy(*stratum).orderBy(F.desc("step"))
+    above = Window.partitionBy(*stratum).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    all_of = Window.partitionBy(*stratum)
+    upper = F.sum(F.when(F.col("step") < UPPER, F.col("c")).otherwise(0)).over(all_of) + 1
+    ranked = counts.select(*stratum, "step", F.sum("c").over(below).alias("rank"), F.sum("c").over(above).alias("kept"), F.sum("c").over(all_of).alias("m"), upper.alias("upper"))
+    at = lambda s: F.pow(F.lit(10.0), -s / STEP)
+    random = (F.col("upper") + 2 * F.sqrt("upper")) / (1 - at(F.lit(UPPER))) * (1 - at(F.col("step") + 1))
+    rejected = F.when(at(F.col("step")) <= alpha * F.col("rank") / F.col("m"), F.col("step"))
+    reported = F.when(F.col("kept") - random <= false * F.col("kept"), F.col("step") + 1)
+    limits = ranked.groupBy(*stratum).agg(F.min(rejected).alias("rejected"), F.max(reported).alias("reported"))
+    limits = limits.select(*stratum, F.least("rejected", F.coalesce("reported", F.lit(0))).alias("limit"))
+    # Every stratum has a limit. An outer join, as an inner one would have the long expressions of the tests repeated in filters.
+    return marked.join(F.broadcast(limits), stratum, "left").where(F.col("limit").isNull() | (F.col("step") < F.col("limit"))).drop("limit", "octave", "step")
 
 
 def scan(docs: DataFrame) -> DataFrame:
