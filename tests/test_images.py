@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tilequarry.functions.geometry import row_bytes
 from tilequarry.operators import chunks, codec, scanlines
-from tilequarry.schema import DEPTHS, SAMPLES, SIGNATURE, ImageError
+from tilequarry.schema import DEPTHS, PALETTE, SAMPLES, SIGNATURE, ImageError
 from tilequarry.sources import images as source
 from tilequarry.streaming import images as streaming
 
@@ -135,7 +135,7 @@ def test_source_round_trip(spark, tmp_path):
     source.register(spark)
     made = source.synthetic(spark)
     path = str(tmp_path / "images")
-    made.select(F.concat("name", F.lit(".png")).alias("name"), "header", "pixels").write.format("png").mode("append").option("compression", "best").save(path)
+    made.select(F.concat("name", F.lit(".png")).alias("name"), "header", "pixels", "palette").write.format("png").mode("append").option("compression", "best").save(path)
     want = {r["name"]: bytes(r["pixels"]) for r in made.collect()}
     assert len(os.listdir(path)) == len(want) == len(source.SYNTHETIC) and not [f for f in os.listdir(path) if f.endswith("tmp")]
     name = lambda p: os.path.basename(p)[:-4]
@@ -151,7 +151,8 @@ def test_source_round_trip(spark, tmp_path):
     assert codec.info(again, ["path"]).where("error IS NULL").count() == len(want)
     broken = tmp_path / "broken.png"
     broken.write_bytes(b"nothing")
-    assert [r["error"] for r in spark.read.format("png").load(str(broken)).collect()] == ["InvalidSignature"]
+    for view in ("images", "headers", "chunks", "rows"):
+        assert [r["error"] for r in spark.read.format("png").option("view", view).load(str(broken)).collect()] == ["InvalidSignature"]
     source.write_binary(files.select("path", "content"), str(tmp_path / "table"))
     assert spark.read.parquet(str(tmp_path / "table")).count() == len(want)
 
@@ -231,8 +232,8 @@ def _run(df, tmp_path, name):
 
 
 def test_streams(spark, tmp_path):
-    header, px, _ = random_image(random.Random(8), 0, 8, 0, 20, 15)
-    content = codec.encode(header, px)
+    header, px, colours = random_image(random.Random(8), 3, 8, 0, 20, 15)
+    content = codec.encode(header, px, colours)
     pieces = [(n, k, content[i : i + 10]) for n in ("a", "b") for k, i in enumerate(range(0, len(content), 10))]
     pieces += [("bad", 0, b"not an image")]
     random.Random(1).shuffle(pieces)
@@ -240,14 +241,33 @@ def test_streams(spark, tmp_path):
     for k, part in enumerate((pieces[:half], pieces[half:])):
         spark.createDataFrame(part, "image string, seq long, fragment binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("image string, seq long, fragment binary").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = _run(streaming.decode_stream(stream), tmp_path, "decoded")
+    got = _run(streaming.decode_stream(stream, whole=True), tmp_path, "decoded")
     for name in ("a", "b"):
         rows = sorted((r["y"], bytes(r["data"])) for r in got if r["image"] == name and not r["finished"])
         assert b"".join(d for _, d in rows) == px and len(rows) == 15
-    assert {r["image"]: r["error"] for r in got if r["finished"]} == {"a": None, "b": None, "bad": "InvalidSignature"}
-    rows = [("a", y, px[20 * y : 20 * y + 20], 20, 15, 8, 0) for y in range(15)] + [("short", 0, b"x", 20, 15, 8, 0)]
+    ends = {r["image"]: r for r in got if r["finished"]}
+    assert {k: r["error"] for k, r in ends.items()} == {"a": None, "b": None, "bad": "InvalidSignature"}
+    for name in ("a", "b"):
+        assert bytes(ends[name]["data"]) == px and ends[name]["header"].asDict() == header and [c.asDict() for c in ends[name]["palette"]] == colours
+    assert ends["bad"]["header"] is None and len(got) == 33
+    row = lambda name, y, color, palette: (name, y, px[20 * y : 20 * y + 20], 20, 15, 8, color, palette)
+    rows = [row("grey", y, 0, None) for y in range(15)] + [row("indexed", y, 3, colours if y == 7 else None) for y in range(15)]
+    rows += [row("colourless", y, 3, None) for y in range(15)] + [("short", 0, b"x", 20, 15, 8, 0, None)]
     random.Random(2).shuffle(rows)
-    schema = "image string, y long, data binary, width long, height long, bit_depth int, color_type int"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "rows"))
-    made = {r["image"]: r for r in _run(streaming.encode_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "rows"))), tmp_path, "encoded")}
-    assert codec.decode(bytes(made["a"]["content"]))["pixels"] == px and made["short"]["error"] == "InvalidImage"
+    schema = f"image string, y long, data binary, width long, height long, bit_depth int, color_type int, palette {PALETTE}"
+    for part in (rows[:30], rows[30:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "rows"))
+    made = {r["image"]: r for r in _run(streaming.encode_stream(stream), tmp_path, "encoded")}
+    assert {k: r["error"] for k, r in made.items()} == {"grey": None, "indexed": None, "colourless": "InvalidImage", "short": "InvalidImage"}
+    assert codec.decode(bytes(made["grey"]["content"]))["pixels"] == px
+    assert codec.decode(bytes(made["indexed"]["content"])) == {"header": header, "pixels": px, "palette": colours}
+
+
+def test_large_files_are_labelled(spark, tmp_path, monkeypatch):
+    for name, n in (("small", 10), ("large", 200)):
+        (tmp_path / f"{name}.png").write_bytes(bytes(n))
+    monkeypatch.setattr(source, "MAX_FILE", 100)
+    got = {r["length"]: r for r in source.read_files(spark, str(tmp_path)).collect()}
+    assert got[10]["error"] is None and bytes(got[10]["content"]) == bytes(10)
+    assert got[200]["error"] == "FileTooLarge" and got[200]["content"] is None

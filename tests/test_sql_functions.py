@@ -39,8 +39,10 @@ def test_images(s):
     rows = s.sql("SELECT id, c.* FROM files, LATERAL png_chunks(content) c ORDER BY id, idx").collect()
     assert [(r["id"], r["type"], r["crc_ok"], r["error"]) for r in rows] == [(1, "IHDR", True, None), (1, "IDAT", True, None), (1, "IEND", True, None), (2, None, None, "InvalidSignature")]
     assert s.sql("SELECT png_parse_header(data).width AS w FROM files, LATERAL png_chunks(content) WHERE type = 'IHDR'").first()["w"] == 3
-    assert [bytes(r["data"]) for r in s.sql("SELECT r.* FROM files, LATERAL png_rows(content) r ORDER BY y").collect()] == [b"\x12\x30", b"\x45\x60"]
-    assert [r["samples"] for r in s.sql("SELECT p.* FROM files, LATERAL png_pixels(content) p ORDER BY y, x").collect()] == [[k] for k in range(1, 7)]
+    rows = s.sql("SELECT id, r.* FROM files, LATERAL png_rows(content) r ORDER BY id, y").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, b"\x12\x30", None), (1, 1, b"\x45\x60", None), (2, None, None, "InvalidSignature")]
+    pixels = s.sql("SELECT id, p.* FROM files, LATERAL png_pixels(content) p ORDER BY id, y, x").collect()
+    assert [tuple(r) for r in pixels] == [(1, (k - 1) % 3, (k - 1) // 3, [k], None) for k in range(1, 7)] + [(2, None, None, None, "InvalidSignature")]
     got = {r["id"]: r["d"] for r in s.sql("SELECT id, png_decode(content) AS d FROM files").collect()}
     assert bytes(got[1]["pixels"]) == b"\x12\x30\x45\x60" and got[1]["header"]["bit_depth"] == 4 and got[2]["error"] == "InvalidSignature"
 

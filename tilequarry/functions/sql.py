@@ -114,28 +114,34 @@ class Chunks:
 
 
 class Rows:
-    """``png_rows(content)``: y, data."""
+    """``png_rows(content)``: y, data, error. A broken file has one row, with its error alone; null has none."""
 
     def eval(self, content: bytes) -> Iterator[tuple]:
+        if content is None:
+            return
         try:
-            image = codec.decode(content or b"")
-        except ImageError:
+            image = codec.decode(content)
+        except ImageError as e:
+            yield None, None, e.label
             return
         h = image["header"]["height"]
         w = len(image["pixels"]) // h
         for y in range(h):
-            yield y, image["pixels"][y * w : (y + 1) * w]
+            yield y, image["pixels"][y * w : (y + 1) * w], None
 
 
 class Pixels:
-    """``png_pixels(content)``: x, y, samples."""
+    """``png_pixels(content)``: x, y, samples, error, with broken files and nulls as in ``png_rows``."""
 
     def eval(self, content: bytes) -> Iterator[tuple]:
         import numpy as np
 
+        if content is None:
+            return
         try:
-            image = codec.decode(content or b"")
-        except ImageError:
+            image = codec.decode(content)
+        except ImageError as e:
+            yield None, None, None, e.label
             return
         h = image["header"]
         rows = np.frombuffer(image["pixels"], np.uint8).reshape(h["height"], -1)
@@ -146,7 +152,7 @@ class Pixels:
             values = bits.unpack_rows(rows, depth, h["width"]) if depth < 8 else rows
         for y, row in enumerate(values.reshape(h["height"], h["width"], n).tolist()):
             for x, v in enumerate(row):
-                yield x, y, v
+                yield x, y, v, None
 
 
 class Tokens:
@@ -159,8 +165,8 @@ class Tokens:
 
 TABLES = {
     "png_chunks": (Chunks, "idx int, type string, length long, data binary, crc long, crc_ok boolean, error string"),
-    "png_rows": (Rows, "y long, data binary"),
-    "png_pixels": (Pixels, "x long, y long, samples array<int>"),
+    "png_rows": (Rows, "y long, data binary, error string"),
+    "png_pixels": (Pixels, "x long, y long, samples array<int>, error string"),
     "lz77_tokens": (Tokens, "idx long, kind string, literal int, length int, distance int"),
 }
 

@@ -12,27 +12,34 @@ import os
 import zlib
 from collections.abc import Iterator
 
-import pyarrow as pa
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..functions.bits import pack_rows
 from ..operators.chunks import SCHEMA as CHUNKS
 from ..operators.chunks import read_chunk
 from ..operators.codec import FIELDS, decode, encode, read_header
-from ..schema import HEADER, IMAGE, MAX_FILE, SIGNATURE, ImageError
+from ..schema import COLOR_NAMES, DEPTHS, HEADER, IMAGE, INTERLACE_NAMES, MAX_FILE, PALETTE, SAMPLES, SIGNATURE, ImageError
 
 VIEWS = {
     "images": f"path string, {IMAGE}",
     "headers": f"path string, length long, header {HEADER}, error string, detail string",
     "chunks": f"path string, {CHUNKS}",
-    "rows": "path string, y long, data binary",
+    "rows": "path string, y long, data binary, error string",
 }
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
-    """Files as path, modificationTime, length, content through ``binaryFile``; larger ones than the limit are left out."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).where(F.col("length") <= MAX_FILE)
+    """Files as path, modificationTime, length, content, error through ``binaryFile``. Of files larger than the limit the
+    content is not read; they have none, and the error FileTooLarge."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    large = found.where(F.col("length") > MAX_FILE).select("path", "modificationTime", "length")
+    return found.where(F.col("length") <= MAX_FILE).withColumn("error", F.lit(None).cast("string")).unionByName(
+        large.withColumns({"content": F.lit(None).cast("binary"), "error": F.lit("FileTooLarge")})
+    )
 
 
 class _Part(InputPartition):
@@ -105,12 +112,15 @@ class _Reader(DataSourceReader):
 
     def _rows(self, path: str, size: int, content: bytes | None) -> Iterator[tuple]:
         try:
-            image = decode(content or b"")
-        except ImageError:
+            if content is None:
+                raise ImageError("FileTooLarge")
+            image = decode(content)
+        except ImageError as e:
+            yield path, None, None, e.label
             return
         w = len(image["pixels"]) // image["header"]["height"]
         for y in range(image["header"]["height"]):
-            yield path, y, image["pixels"][y * w : (y + 1) * w]
+            yield path, y, image["pixels"][y * w : (y + 1) * w], None
 
 
 class _Written(WriterCommitMessage):
@@ -177,38 +187,38 @@ def write_binary(files: DataFrame, path: str) -> None:
     files.write.mode("error").parquet(path)
 
 
-# Synthetic images by formulas of (x, y): name, width, height, colour type, bit depth, interlace, samples of a pixel.
+# Synthetic images: each colour type at each of its depths, plain and interlaced, in sizes that fill no byte or pass evenly.
+SIZES = ((1, 1), (3, 7), (33, 18), (130, 5))
 SYNTHETIC = [
-    ("grayscale_8bit", 16, 16, 0, 8, 0, lambda x, y: [(16 * x + 16 * y) % 256]),
-    ("rgb_8bit", 16, 16, 2, 8, 0, lambda x, y: [16 * x, 16 * y, 128]),
-    ("rgba_8bit", 16, 16, 6, 8, 0, lambda x, y: [255, 16 * x, 16 * y, 8 * (x + y)]),
-    ("grayscale_alpha_8bit", 16, 16, 4, 8, 0, lambda x, y: [16 * x, 16 * y]),
-    ("gradient", 256, 64, 0, 8, 0, lambda x, y: [x]),
-    ("checkerboard", 64, 64, 2, 8, 0, lambda x, y: [255 * ((x // 8 + y // 8) % 2)] * 3),
-    ("grayscale_16bit", 16, 16, 0, 16, 0, lambda x, y: [(4096 * x + 256 * y) % 65536]),
-    ("rgb_16bit", 16, 16, 2, 16, 0, lambda x, y: [4096 * x, 4096 * y, 32768]),
-    ("rgba_16bit", 16, 16, 6, 16, 0, lambda x, y: [4096 * x, 4096 * y, 32768, 65535]),
-    ("tiny", 1, 1, 2, 8, 0, lambda x, y: [255, 0, 0]),
-    ("wide", 512, 8, 0, 8, 0, lambda x, y: [x // 2]),
-    ("tall", 8, 512, 0, 8, 0, lambda x, y: [y // 2]),
-    ("large", 256, 256, 2, 8, 0, lambda x, y: [x, y, (x + y) // 2]),
-    ("interlaced", 32, 32, 2, 8, 1, lambda x, y: [8 * x, 8 * y, 128]),
-    ("pattern", 64, 64, 0, 8, 0, lambda x, y: [(7 * x ^ 13 * y) % 256]),
-    ("solid_black", 64, 64, 2, 8, 0, lambda x, y: [0, 0, 0]),
-    ("solid_white", 64, 64, 2, 8, 0, lambda x, y: [255, 255, 255]),
-    ("solid_red", 64, 64, 2, 8, 0, lambda x, y: [255, 0, 0]),
-]
+    (f"{COLOR_NAMES[color]}_{depth}_{INTERLACE_NAMES[lace]}_{w}x{h}", w, h, color, depth, lace)
+    for color, depths in DEPTHS.items() for depth in depths for lace in INTERLACE_NAMES for w, h in SIZES
+]
+
+
+def synthetic_pixels(width: int, height: int, color: int, depth: int) -> bytes:
+    """Rows of bytes: a slope along rows, another down columns and a ripple, so that no one filter suits all rows."""
+    n = SAMPLES[color]
+    at, y = np.arange(width * n, dtype=np.int64), np.arange(height, dtype=np.int64)[:, None]
+    values = 37 * (at // n) + 91 * (at % n) + y * y + (at * y % 5) * (1 << depth - 1)
+    if depth < 8:
+        return pack_rows((values % (1 << depth)).astype(np.uint8), depth).tobytes()
+    return (values % (1 << depth)).astype(">u2" if depth == 16 else np.uint8).tobytes()
+
+
+def synthetic_palette(depth: int) -> list[dict]:
+    return [{"r": k * 255 // ((1 << depth) - 1), "g": 255 - k, "b": k * k % 256} for k in range(1 << depth)]
 
 
 def synthetic(spark: SparkSession) -> DataFrame:
-    """name, header, pixels of the synthetic images, made on the executors."""
+    """name, header, pixels, palette of the synthetic images, made on the executors."""
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            for k in b.column(0).to_pylist():
-                name, w, h, c, d, i, f = SYNTHETIC[k]
-                pixels = b"".join(v.to_bytes(d // 8, "big") for y in range(h) for x in range(w) for v in f(x, y))
-                header = dict(zip(FIELDS, (w, h, d, c, 0, 0, i)))
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([header], pa.struct([(n, pa.int64() if n in ("width", "height") else pa.int32()) for n in FIELDS])), pa.array([pixels], pa.binary())], ["name", "header", "pixels"])
-
-    return spark.range(len(SYNTHETIC)).mapInArrow(run, f"name string, header {HEADER}, pixels binary")
+            out = []
+            for k in b["id"]:
+                name, w, h, color, depth, lace = SYNTHETIC[k]
+                header = dict(zip(FIELDS, (w, h, depth, color, 0, 0, lace)))
+                out.append((name, header, synthetic_pixels(w, h, color, depth), synthetic_palette(depth) if color == 3 else None))
+            yield pd.DataFrame(out, columns=["name", "header", "pixels", "palette"])
+
+    return spark.range(len(SYNTHETIC)).mapInPandas(run, f"name string, header {HEADER}, pixels binary, palette {PALETTE}")
