@@ -20,24 +20,23 @@ MIN_MATCH, MAX_MATCH = 3, 258
 # Search depth and the level of the C library, by level name.
 CHAIN = {"store": 0, "fastest": 4, "fast": 16, "default": 64, "best": 256}
 ZLIB_LEVEL = {"store": 0, "fastest": 1, "fast": 3, "default": 6, "best": 9}
-LAZY = {"store": False, "fastest": False, "fast": False, "default": True, "best": True}
 # The order in which the lengths of the code-length code are sent.
 CODE_ORDER = (16, 17, 18, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 15)
 
 
-def _bases(first: int, groups: int, per: int, plain: int) -> list[tuple[int, int]]:
-    """(base, extra bits) of codes: ``plain`` codes without extra bits, then ``per`` codes for each further bit."""
-    out, base = [], first
-    for k in range(plain + groups * per):
-        extra = max(0, (k - plain) // per + 1) if k >= plain else 0
-        out.append((base, extra))
-        base += 1 << extra
-    return out
-
-
-# Length codes 257.. and distance codes 0..; the last length code stands for 258 alone.
-LENGTHS = [*_bases(3, 5, 4, 8)[:28], (258, 0)]
-DISTANCES = _bases(1, 13, 2, 4)
+# Fixed values of RFC 1951: (base, extra bits) of the length codes from 257 and of the distance codes from 0.
+# fmt: off
+LENGTHS = [
+    (3, 0), (4, 0), (5, 0), (6, 0), (7, 0), (8, 0), (9, 0), (10, 0), (11, 1), (13, 1), (15, 1), (17, 1), (19, 2),
+    (23, 2), (27, 2), (31, 2), (35, 3), (43, 3), (51, 3), (59, 3), (67, 4), (83, 4), (99, 4), (115, 4), (131, 5),
+    (163, 5), (195, 5), (227, 5), (258, 0),
+]
+DISTANCES = [
+    (1, 0), (2, 0), (3, 0), (4, 0), (5, 1), (7, 1), (9, 2), (13, 2), (17, 3), (25, 3), (33, 4), (49, 4), (65, 5),
+    (97, 5), (129, 6), (193, 6), (257, 7), (385, 7), (513, 8), (769, 8), (1025, 9), (1537, 9), (2049, 10), (3073, 10),
+    (4097, 11), (6145, 11), (8193, 12), (12289, 12), (16385, 13), (24577, 13),
+]
+# fmt: on
 
 
 def length_code(n: int) -> tuple[int, int, int]:

@@ -22,7 +22,6 @@ IDAT_PIECE = 32768
 
 HEADER = "struct<width:bigint,height:bigint,bit_depth:int,color_type:int,compression:int,filter:int,interlace:int>"
 PALETTE = "array<struct<r:int,g:int,b:int>>"
-CHUNK = "idx int, type string, length bigint, data binary, crc bigint, crc_ok boolean, error string"
 IMAGE = f"header {HEADER}, pixels binary, palette {PALETTE}, error string, detail string"
 
 
