@@ -208,7 +208,7 @@ SELECT p_partkey, printf('%02x%02x%02x5a', (v & 255)::INT, (v >> 8 & 255)::INT,
     "palettes": f"""WITH {base._LINES}, d AS (SELECT image, y, px[1:(y % 65)::INT] AS b, y % 65 AS n FROM q)
 SELECT image, y, CASE WHEN n > 0 AND n % 3 = 0 THEN n // 3 END::BIGINT AS n, CASE WHEN n > 0 AND n % 3 = 0 THEN list_sum(list_transform(range(n), lambda k: b[k + 1] * (k % 3 + 1))) END::BIGINT AS total,
 CASE WHEN n > 0 AND n % 3 = 0 THEN array_to_string(list_transform(b, lambda v: printf('%02x', v::INT)), '') END AS back, CASE WHEN n = 0 OR n % 3 <> 0 THEN 'InvalidLength' END AS error FROM d""",
-    "damaged_images": f"SELECT image, damage, damage <> 'signature' AS signed, error FROM (SELECT DISTINCT label AS image FROM embeddings), (VALUES {_NAMES}) v(damage, error)",
+    "damaged_images": f"SELECT image, damage, damage <> 'signature' AS signed, error FROM (SELECT DISTINCT {base._IMAGE} AS image FROM embeddings), (VALUES {_NAMES}) v(damage, error)",
     "indexed_images": f"""WITH {base._LINES} SELECT image, y, d::BIGINT AS depth, CASE d WHEN 1 THEN {_packed(1)} WHEN 2 THEN {_packed(2)} ELSE {_packed(4)} END AS data,
 list_sum(list_transform(range(64), lambda k: (px[k + 1] & ((1 << d) - 1)) * (k + 1)))::BIGINT AS weighted, 4::BIGINT AS n_chunks, 1::BIGINT AS n_palettes, 1::BIGINT AS lace FROM q, (VALUES (1), (2), (4)) v(d)""",
 }

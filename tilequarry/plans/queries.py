@@ -1,6 +1,7 @@
 """The library's queries over the driver's tables, and SQL that gives the same rows.
 
-Rows of ``embeddings`` serve as scanlines (image: label, order: vec_id, samples quantised to bytes), texts of
+Rows of ``embeddings`` serve as scanlines (image: label and ``TILE`` numbers of vec_id, so that no image grows with the
+table; order: vec_id, samples quantised to bytes), texts of
 ``documents`` and ``pages`` as byte streams, keys of ``part`` and ``lineitem`` as header fields and lengths.
 """
 
@@ -18,6 +19,9 @@ from ..operators import chunks, codec, scanlines
 from ..schema import ADAM7, ANCILLARY, CRITICAL
 
 
+TILE = 1024
+
+
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -25,14 +29,15 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """image, y, px: scanlines of 64 bytes."""
     px = F.transform("embedding", lambda v: F.floor((v.cast("double") + 1) * 127.5).cast("int").bitwiseAND(255))
-    return _table(spark, sf, "embeddings").select(F.col("label").alias("image"), F.col("vec_id").alias("y"), px.alias("px"))
+    tile = F.floor(F.col("vec_id") / TILE)
+    return _table(spark, sf, "embeddings").select(F.concat("label", F.lit("/"), tile).alias("image"), F.col("vec_id").alias("y"), px.alias("px"))
 
 
 def images(spark: SparkSession, sf: str, interlace: int = 0) -> DataFrame:
-    """image, header, pixels: an 8-bit grey image of all scanlines of a label, in order of vec_id."""
+    """image, header, pixels: 8-bit grey images of a label's scanlines, at most ``TILE`` each, in order of vec_id."""
     rows = lines(spark, sf).withColumn("data", checksums.to_binary(F.col("px")))
     whole = rows.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("y", "data"))).alias("r"))
-    # The rows of an image are 64 bytes each; images themselves are bounded by the format's limits.
+    # The rows of an image are 64 bytes each, and at most TILE unless vec_ids repeat.
     header = F.struct(F.lit(64).cast("bigint").alias("width"), F.size("r").cast("bigint").alias("height"), *[F.lit(v).alias(c) for c, v in (("bit_depth", 8), ("color_type", 0), ("compression", 0), ("filter", 0), ("interlace", interlace))])
     pixels = F.unhex(F.array_join(F.transform("r", lambda x: F.hex(x["data"])), ""))
     return whole.select("image", header.alias("header"), pixels.alias("pixels"))
@@ -291,7 +296,8 @@ def zlib_streams(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "pages").select("page_id", "html").mapInArrow(run, "page_id long, html string, cmf string")
 
 
-_LINES = "q AS (SELECT label AS image, vec_id AS y, list_transform(embedding, lambda v: (floor((v::DOUBLE + 1) * 127.5)::BIGINT & 255)) AS px FROM embeddings)"
+_IMAGE = f"label || '/' || vec_id // {TILE}"
+_LINES = f"q AS (SELECT {_IMAGE} AS image, vec_id AS y, list_transform(embedding, lambda v: (floor((v::DOUBLE + 1) * 127.5)::BIGINT & 255)) AS px FROM embeddings)"
 _NEAR = f"""WITH {_LINES}, p AS (SELECT *, lag(px) OVER (PARTITION BY image ORDER BY y) AS up FROM q),
 n AS (SELECT image, y, unnest(range(64)) AS i, px, up FROM p),
 s AS (SELECT image, y, i, px[i + 1] AS x, CASE WHEN i > 0 THEN px[i] ELSE 0 END AS a, coalesce(up[i + 1], 0) AS b, CASE WHEN i > 0 THEN coalesce(up[i], 0) ELSE 0 END AS c FROM n),
@@ -369,10 +375,10 @@ FROM v ASOF JOIN a ON v.len >= a.low ASOF JOIN b ON v.dist >= b.low""",
     "zlib_header_errors": f"WITH w AS (SELECT o_orderkey, o_orderkey * 40503 % 65536 AS word FROM orders) SELECT o_orderkey, word, {_WORD_ERROR} AS error FROM w",
     "idat_split": "WITH p AS (SELECT page_id, octet_length(encode(html)) AS n FROM pages), u AS (SELECT page_id, n, unnest(range((n + 32767) // 32768)) AS k FROM p) SELECT page_id, k::BIGINT AS idx, least(32768, n - 32768 * k)::BIGINT AS n FROM u",
     **{f"png_roundtrip{x}": f"WITH {_LINES}, r AS (SELECT image, px, row_number() OVER (PARTITION BY image ORDER BY y) - 1 AS y FROM q) SELECT image, y::BIGINT AS y, upper(array_to_string(list_transform(px, lambda v: printf('%02x', v)), '')) AS data FROM r" for x in ("", "_adam7")},
-    "image_info": "SELECT label AS image, 64::BIGINT AS width, count(*) AS height, 8::BIGINT AS bit_depth, 0::BIGINT AS color_type, 0::BIGINT AS interlace, (64 * count(*))::BIGINT AS n_bytes, NULL::VARCHAR AS error FROM embeddings GROUP BY 1",
-    "png_chunks": """WITH e AS (SELECT label AS image, count(*) * 65 AS n FROM embeddings GROUP BY 1), s AS (SELECT image, n + 6 + 5 * ((n + 65534) // 65535) AS z FROM e), k AS (SELECT image, (z + 32767) // 32768 AS m FROM s),
+    "image_info": f"SELECT {_IMAGE} AS image, 64::BIGINT AS width, count(*) AS height, 8::BIGINT AS bit_depth, 0::BIGINT AS color_type, 0::BIGINT AS interlace, (64 * count(*))::BIGINT AS n_bytes, NULL::VARCHAR AS error FROM embeddings GROUP BY 1",
+    "png_chunks": f"""WITH e AS (SELECT {_IMAGE} AS image, count(*) * 65 AS n FROM embeddings GROUP BY 1), s AS (SELECT image, n + 6 + 5 * ((n + 65534) // 65535) AS z FROM e), k AS (SELECT image, (z + 32767) // 32768 AS m FROM s),
 u AS (SELECT image, m, unnest(range(m + 2)) AS i FROM k) SELECT image, i::BIGINT AS idx, CASE i WHEN 0 THEN 'IHDR' WHEN m + 1 THEN 'IEND' ELSE 'IDAT' END AS type, true AS crc_ok, true AS critical, NULL::VARCHAR AS error FROM u""",
-    "chunk_order": "SELECT DISTINCT label AS image, 'IHDR' AS first_type, true AS has_iend, 0::BIGINT AS extra_ihdr, 0::BIGINT AS unknown_critical, NULL::BOOLEAN AS late_plte FROM embeddings",
+    "chunk_order": f"SELECT DISTINCT {_IMAGE} AS image, 'IHDR' AS first_type, true AS has_iend, 0::BIGINT AS extra_ihdr, 0::BIGINT AS unknown_critical, NULL::BOOLEAN AS late_plte FROM embeddings",
     "image_pixels": f"""WITH {_LINES}, r AS (SELECT image, px, row_number() OVER (PARTITION BY image ORDER BY y) - 1 AS y, count(*) OVER (PARTITION BY image) AS h FROM q), k AS (SELECT image, any_value(h) AS h, unnest(range(65)) AS x FROM r GROUP BY image)
 SELECT k.image, x::BIGINT AS x, CASE WHEN x < 64 THEN px[x + 1] END::BIGINT AS v FROM k JOIN r ON r.image = k.image AND r.y = x % k.h""",
     "lz77_tokens": "SELECT doc_id, text FROM documents",
