@@ -127,3 +127,28 @@ def test_html_extraction_of_a_table(spark, tmp_path):
     assert right >= 0.7 * len(made), right
     none = html.extract(spark.createDataFrame([], "page_id long, url string, html string"))
     assert none.collect() == [] and none.columns == got.columns.tolist()
+
+
+def test_dedup_holds_little_of_the_rarity_table_on_the_driver(spark, tmp_path):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tilequarry.llm import jaccard
+    from tilequarry.llm.words import SPACE, find_words
+
+    texts = [" ".join(f"w{k % m}" for k in range(60)) for m in range(1, 40)] + ["", "one two"]
+    rows = jaccard.rows_of(saved(spark, tmp_path / "d", list(enumerate(texts))))
+    counts = np.zeros(1 << jaccard.BITS, np.int64)
+    for w in find_words(pa.array(texts), SPACE, lower=True):
+        np.add.at(counts, (w.shingles(jaccard.N)[0] >> np.uint64(64 - jaccard.BITS)).astype(np.int64), 1)
+    tracemalloc.start()
+    try:
+        _, rarity = jaccard.survey(rows)
+        jaccard.index_lists(rows, rarity, jaccard.Threshold())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rarity.dtype == np.uint8 and (rarity == np.floor(4 * np.log2(counts + 1.0))).all() and rarity.any()
+    assert peak < 6 * rarity.nbytes, peak  # as whole counts, the table alone is eight times that

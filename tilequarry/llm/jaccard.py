@@ -94,7 +94,8 @@ def _shingles(w: Words, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 def survey(rows: DataFrame, n: int = N, least: int = 1, extra: tuple[str, ...] = ()) -> tuple[DataFrame, np.ndarray]:
     """In one pass: uid, doc_id, n (set size) and two sums that tell sets apart (null where the set is empty), with the
-    long columns named in ``extra``; and for each of 2**BITS hash buckets how many shingles fall into it."""
+    long columns named in ``extra``; and for each of 2**BITS hash buckets how many shingles fall into it, as a byte on a
+    quarter-octave scale. Executors add the counts and scale them, so that no more than those bytes reach the driver."""
     store.small_batches(rows.sparkSession)
     width = (1 << BITS) // SLICES
     names = ["uid", "doc_id", *extra, "n", "sig1", "sig2", "slice", "counts"]
@@ -118,6 +119,9 @@ def survey(rows: DataFrame, n: int = N, least: int = 1, extra: tuple[str, ...] =
             tail = [pa.array(range(SLICES), pa.int64()), pa.array([press.compress(total[i * width : (i + 1) * width].tobytes()) for i in range(SLICES)], pa.binary())]
             yield pa.RecordBatch.from_arrays([*[pa.nulls(SLICES, t) for t in kinds[:-2]], *tail], names)
 
+    def scale(counts: np.ndarray) -> np.ndarray:
+        return np.floor(4 * np.log2(counts + 1.0)).astype(np.uint8)
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
@@ -125,14 +129,14 @@ def survey(rows: DataFrame, n: int = N, least: int = 1, extra: tuple[str, ...] =
                 got = np.frombuffer(zstandard.ZstdDecompressor().decompress(c), np.uint32).astype(np.int64)
                 sums[i] = sums[i] + got if i in sums else got
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array([scale(x).tobytes() for x in sums.values()], pa.binary())], ["slice", "rarity"])
 
     table = store.written(rows.select("doc_id", "text", "uid", *extra).mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", counts binary"), "survey")
     parts = min(SLICES, store.n_partitions(rows.sparkSession))
-    counts = np.zeros(1 << BITS, np.int64)
-    for i, c in table.where("slice IS NOT NULL").select("slice", "counts").repartition(parts, "slice").mapInArrow(add, "slice long, counts binary").collect():
-        counts[i * width : (i + 1) * width] = np.frombuffer(c, np.int64)
-    return table.where("slice IS NULL").select(*names[:-2]), counts
+    rarity = np.zeros(1 << BITS, np.uint8)
+    for i, c in table.where("slice IS NOT NULL").select("slice", "counts").repartition(parts, "slice").mapInArrow(add, "slice long, rarity binary").collect():
+        rarity[i * width : (i + 1) * width] = np.frombuffer(c, np.uint8)
+    return table.where("slice IS NULL").select(*names[:-2]), rarity
 
 
 def _only(rows: DataFrame, uids: DataFrame, how: str) -> DataFrame:
@@ -142,15 +146,15 @@ def _only(rows: DataFrame, uids: DataFrame, how: str) -> DataFrame:
     return rows.join(uids.hint("shuffle_hash"), "uid", how).select(rows.columns)
 
 
-def index_lists(rows: DataFrame, counts: np.ndarray, limit: Threshold, n: int = N, least: int = 1) -> DataFrame:
+def index_lists(rows: DataFrame, rarity: np.ndarray, limit: Threshold, n: int = N, least: int = 1) -> DataFrame:
     """token, doc, uid, n, pos of the prefixes of all sets of ``rows``, without lists of one member, and each list's first
     member (by doc, then uid) with its size: first, first_n."""
     spark = rows.sparkSession
     store.small_batches(spark)
     parts = store.n_partitions(spark)
     buckets = 8 * parts
-    # Counts on a quarter-octave scale; equally rare shingles are ordered by hash.
-    rarity = spark.sparkContext.broadcast(np.floor(4 * np.log2(counts + 1.0)).astype(np.uint8))
+    # Equally rare shingles are ordered by hash.
+    known = spark.sparkContext.broadcast(rarity)
     kinds = ("<u8", "<i8", "<i8", "<i4", "<i4")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +180,7 @@ def index_lists(rows: DataFrame, counts: np.ndarray, limit: Threshold, n: int =
             docs, uids = b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), b.column(2).to_numpy()
             for w in find_words(b.column(1), SPACE, lower=True):
                 s, first = _shingles(w, n, least)
-                tokens, first = distinct(s, first, rarity.value[(s >> np.uint64(64 - BITS)).astype(np.int64)])
+                tokens, first = distinct(s, first, known.value[(s >> np.uint64(64 - BITS)).astype(np.int64)])
                 sizes = np.diff(first)
                 pos = np.arange(len(tokens)) - np.repeat(first[:-1], sizes)
                 text = np.repeat(np.arange(len(sizes)), sizes)
@@ -349,9 +353,9 @@ def remaining(lists: DataFrame, known: DataFrame, roots: DataFrame, limit: Thres
     return dealt.mapInArrow(run, schema).groupBy("a", "b", "na", "nb").agg(F.max("sure").alias("sure"))
 
 
-def links(rows: DataFrame, counts: np.ndarray, limit: Threshold, n: int = N) -> DataFrame:
+def links(rows: DataFrame, rarity: np.ndarray, limit: Threshold, n: int = N) -> DataFrame:
     """u, v: links whose components are those of all links among the sets of ``rows`` (which are distinct)."""
-    lists = store.written(index_lists(rows, counts, limit, n), "lists")
+    lists = store.written(index_lists(rows, rarity, limit, n), "lists")
     refs = store.written(references(lists, limit), "references")
     first = store.written(overlaps(refs, rows, n), "overlaps")
     linked = lambda o, a, b: F.col(o) * (limit.num + limit.den) >= F.lit(limit.num) * (F.col(a) + F.col(b))
@@ -378,13 +382,13 @@ def near_duplicates(docs: DataFrame, n: int = N, limit: Threshold | None = None,
 def components_of(rows: DataFrame, n: int = N, limit: Threshold | None = None) -> DataFrame:
     """As :func:`near_duplicates`, of rows (doc_id, text, uid) that are numbered already."""
     limit = limit or Threshold()
-    sets, counts = survey(rows, n)
+    sets, rarity = survey(rows, n)
     some = sets.where("n > 0")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
     classes = store.written(some.groupBy("sig1", "sig2", "n").agg(F.min(place).alias("p")).select("sig1", "sig2", "n", F.col("p.doc_id").alias("rep_doc"), F.col("p.uid").alias("rep")), "classes")
     # Rows that do not stand for their class, and rows without a set, take no part in the join.
     single = store.written(sets.join(classes.select(F.col("rep").alias("uid")), "uid", "left_anti").select("uid"), "others")
-    linked = links(_only(rows, single, "left_anti"), counts, limit, n)
+    linked = links(_only(rows, single, "left_anti"), rarity, limit, n)
     roots = connected(linked)
     store.drop_written(single, linked)
     reps = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))

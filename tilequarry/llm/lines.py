@@ -44,13 +44,13 @@ def later_lines(rows: DataFrame, limit: Threshold | None = None, n: int = N) ->
     """row, line of every line of ``rows`` (doc_id, text, row) that matches an earlier one."""
     limit = limit or Threshold()
     lines = _lines(rows)
-    sets, counts = survey(lines, n, 1, ("row", "line"))
+    sets, rarity = survey(lines, n, 1, ("row", "line"))
     held = sets.where("n > 0")
     doc = F.coalesce("doc_id", F.lit(-(1 << 63)))
     first = store.written(held.groupBy("sig1", "sig2", "n").agg(F.min(F.struct(doc.alias("doc"), "uid")).alias("p")).select(F.col("p.uid").alias("uid")), "earliest")
     equal = store.written(held.join(first, "uid", "left_anti").select("uid", "row", "line"), "equal")
     distinct = _only(lines.select("doc_id", "text", "uid"), equal.select("uid"), "left_anti")
-    lists = store.written(index_lists(distinct, counts, limit, n), "lists")
+    lists = store.written(index_lists(distinct, rarity, limit, n), "lists")
     match = F.col("o") * (limit.num + limit.den) >= F.lit(limit.num) * (F.col("na") + F.col("nb"))
     best = references(lists, limit)
     compared = store.written(overlaps(best, lines.select("doc_id", "text", "uid"), n).withColumn("match", match), "compared")
